@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.llm import fingerprints, licenses, mixing, packing, quality
+from strataspark.llm import extraction, fingerprints, licenses, mixing, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_extraction": op3_extraction,
     "op4_licenses": op4_licenses,
     "op7_packing": op7_packing,
     "op9_fingerprints": op9_fingerprints,
