@@ -43,34 +43,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
-def _encoders(path: str):
-    """The tokenizer at ``path`` and, where its ranks stand beside it, a faster equal one."""
+@lru_cache(maxsize=1)
+def _exact(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
     exact.encode_special_tokens = True
+    return exact
+
+
+@lru_cache(maxsize=1)
+def _fast(path: str):
+    """A faster, equal encoder, where the tokenizer's ranks stand beside it."""
     ranks = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks):
-        return exact, None
+        return None
     import public_tokenizers
     import tiktoken
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return exact, tiktoken.Encoding(
-        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
-    )
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
     """Token ids of a whole text; the ranks' encoder serves texts of Latin letters."""
-    exact, fast = _encoders(path)
+    fast = _fast(path)
     text = text or ""
     if fast is not None and not _FAR.search(text):
         return np.array(fast.encode_ordinary(text), dtype="<u4")
-    return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    return np.array(_exact(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cut(n: int, most: int = SEQUENCE_TOKENS) -> list[tuple[int, int]]:
@@ -137,18 +140,16 @@ def pack_pieces(cut_pieces: DataFrame) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__uid", ignore_index=True)
         bins, offsets = sum_of_squares(group["length"].to_numpy())
-        return pd.DataFrame(
-            {"__at": group["__uid"], "sequence_id": group["__group"] * (1 << 32) + bins, "offset": offsets}
-        )
+        group["sequence_id"] = group["__group"] * (1 << 32) + bins
+        group["offset"] = offsets
+        return group[[x.split()[0] for x in placed.split(", ")]]
 
-    # row numbers of a written partition follow each other: a multiplicative hash deals them evenly
+    placed = "id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     dealt = numbered.withColumn("__group", F.pmod(F.xxhash64("__uid"), F.lit(groups)))
-    placed = (
-        dealt.select("__uid", "length", "__group")
-        .groupBy("__group")
-        .applyInPandas(run, "__at long, sequence_id long, offset long")
-    )
-    return numbered.join(placed, F.col("__uid") == F.col("__at")).drop("__uid", "__at")
+    # ids pass as text: a null among them would turn longs into doubles in pandas
+    dealt = dealt.withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
+    packed = dealt.groupBy("__group").applyInPandas(run, placed)
+    return packed.select(F.col("id").cast("long").alias("doc_id"), *[x.split()[0] for x in placed.split(", ")[1:]])
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
