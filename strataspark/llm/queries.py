@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.llm import extraction, fingerprints, licenses, mixing, neighbours, packing, quality
+from strataspark.llm import (
+    extraction,
+    fingerprints,
+    jaccard_join,
+    licenses,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +44,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.join(_read(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_read(spark, sf_dir, "documents"))
 
@@ -49,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_extraction": op3_extraction,
     "op4_licenses": op4_licenses,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_neighbours": op10_neighbours,
 }
