@@ -83,3 +83,12 @@ def running_sum(
         .withColumn(out, F.col("__before") + F.col("__inner"))
         .drop("__inner", "__before", *[f"__k_{k}" for k in (*keys, bucket)])
     )
+
+
+#: Rows (some 100 bytes each) up to which a counted side of a join is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Marks a materialized side for broadcast if its counted rows are few; else it shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

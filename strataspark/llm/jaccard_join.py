@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataspark.llm.common import materialize, text_batches
+from strataspark.llm.common import broadcast_if_small, materialize, text_batches
 from strataspark.llm.components import components
 from strataspark.llm.minhash import SIMILAR, forest, key_of, normal, shingles, signature, similar_pairs
 
@@ -111,6 +111,22 @@ def _verify(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": left, "b": right, "n": count})
 
 
+def links_of(sets: DataFrame, bins: int, node_type: str) -> DataFrame:
+    """Verified links of candidate groups (node, root, blocks, block, shingles), written
+    once: rows (a, null, n) with a node's number of links, rows (a, b, 0) of a
+    spanning forest. Small groups share ``bins`` tasks, others are pairs of blocks."""
+    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    pairs = pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    where = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "i", "j"))
+    return materialize(
+        pairs.withColumn("bin", where)
+        .select("bin", "node", "root", "block", "i", "j", "shingles")
+        .groupBy("bin")
+        .applyInPandas(_verify, f"a {node_type}, b {node_type}, n long"),
+        "join-links",
+    )
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id, n_links, n_copies of every row of ``docs``."""
     rows = keyed(docs)
@@ -127,6 +143,7 @@ def join(docs: DataFrame) -> DataFrame:
     ids = nodes.select(F.col("node").alias("n"), F.col("least_id"))
     placed = groups.join(sizes, F.col("root") == F.col("r")).join(ids, F.col("node") == F.col("n"))
     placed = placed.select("node", "root", "blocks", "least_id", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = broadcast_if_small(materialize(placed, "join-placed"))
 
     @F.pandas_udf("binary")
     def whole_set(texts: pd.Series, wanted: pd.Series) -> pd.Series:
@@ -142,16 +159,7 @@ def join(docs: DataFrame) -> DataFrame:
         .select("node", "root", "blocks", "block", whole_set("text", "node").alias("shingles"))
         .where("shingles IS NOT NULL")
     )
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    pairs = pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    where = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "i", "j"))
-    found = materialize(
-        pairs.withColumn("bin", where)
-        .select("bin", "node", "root", "block", "i", "j", "shingles")
-        .groupBy("bin")
-        .applyInPandas(_verify, "a string, b string, n long"),
-        "join-links",
-    )
+    found = links_of(sets, bins, "string")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("l")).agg(F.sum("n").alias("n_links"))
     classes = materialize(components(found.where("b IS NOT NULL").select("a", "b")), "join-classes")
     of_node = nodes.select("node", "least_id", "n_copies").join(

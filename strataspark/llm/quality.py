@@ -259,3 +259,18 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     scored = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), probability("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model doesn't reject."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = shared.value
+        for batch in texts:
+            yield pd.Series([own.probability(indicators(t)) >= THRESHOLD for t in batch], dtype=bool)
+
+    return docs.where(good("text"))

@@ -14,6 +14,7 @@ from strataspark.llm import (
     mixing,
     neighbours,
     packing,
+    paragraphs,
     quality,
 )
 
@@ -40,6 +41,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_extraction": op3_extraction,
     "op4_licenses": op4_licenses,
+    "op6_paragraphs": op6_paragraphs,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,
