@@ -16,6 +16,7 @@ from strataspark.llm import (
     packing,
     paragraphs,
     quality,
+    scoring,
 )
 
 
@@ -41,6 +42,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return scoring.score(docs, *scoring.train(docs))
+
+
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(_read(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_extraction": op3_extraction,
     "op4_licenses": op4_licenses,
+    "op5_scoring": op5_scoring,
     "op6_paragraphs": op6_paragraphs,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
