@@ -6,7 +6,7 @@ import csv
 import io
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import hex_id
@@ -33,11 +33,26 @@ def all_rows(records: DataFrame) -> DataFrame:
     )
 
 
+def csv_line(columns: list[str]) -> Column:
+    """A row as a CSV line: values with commas, quotes or line breaks are quoted, null is empty."""
+
+    def value(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(text.rlike('[",\\r\\n]'), quoted).otherwise(text)
+
+    return F.concat_ws(",", *map(value, columns))
+
+
 def write_csv(records: DataFrame, path: str, record_type: str | None = None) -> None:
-    """CSV files in order of type and id, written in parallel."""
+    """CSV part files, written in parallel: put together in order of name they are one
+    CSV in order of type and id, with its header first."""
     rows = records.where(F.col("record_type") == record_type) if record_type else records
-    rows = (typed_rows if record_type else all_rows)(rows.orderBy("record_type", "form_id"))
-    rows.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="", emptyValue="", lineSep="\r\n")
+    keyed = (typed_rows if record_type else all_rows)(rows)
+    lines = keyed.select(F.lit(1).alias("k"), "record_type", "form_id", csv_line(keyed.columns).alias("value"))
+    header = records.sparkSession.createDataFrame([(0, "", "", ",".join(CSV_COLUMNS))], lines.schema)
+    ordered = header.unionByName(lines).orderBy("k", "record_type", "form_id")
+    ordered.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def csv_text(records: DataFrame, record_type: str | None = None) -> str:
