@@ -32,13 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a file of a materialized table whose size is known beforehand.
+FILE_ROWS = 200_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a reread and not a recompute,
-    and freezes values such as ``monotonically_increasing_id``.
+    and freezes values such as ``monotonically_increasing_id``. ``rows``, a bound of
+    the number of narrow rows where it is known, keeps small tables in few files.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -89,6 +96,6 @@ def running_sum(
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Marks a materialized side for broadcast if its counted rows are few; else it shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Marks a side for broadcast if its counted (or bounded) rows are few; else it shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -20,12 +20,15 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (its component's least node) of every node of the edges (a, b)."""
+    """node, root (its component's least node) of every node of the edges (a, b).
+
+    The result reads a written table: reading it more than once is cheap.
+    """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
     before = None
     while (now := _mark(e)) != before:
-        before = now
+        before, rows = now, 2 * now[0]
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
@@ -34,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        e = materialize(small.select("e.*").where("a <> b").distinct(), "edges")
+        e = materialize(small.select("e.*").where("a <> b").distinct(), "edges", rows)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

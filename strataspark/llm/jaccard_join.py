@@ -136,14 +136,15 @@ def join(docs: DataFrame) -> DataFrame:
     keys = nodes.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     candidates = keys.join(shared, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = materialize(components(candidates), "join-groups")
+    groups = components(candidates)
+    n_grouped = groups.count()
 
     sizes = groups.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
-    bins = max(1, groups.count() // BLOCK_NODES)
+    bins = max(1, n_grouped // BLOCK_NODES)
     ids = nodes.select(F.col("node").alias("n"), F.col("least_id"))
     placed = groups.join(sizes, F.col("root") == F.col("r")).join(ids, F.col("node") == F.col("n"))
     placed = placed.select("node", "root", "blocks", "least_id", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = broadcast_if_small(materialize(placed, "join-placed"))
+    placed = broadcast_if_small(placed, n_grouped)
 
     @F.pandas_udf("binary")
     def whole_set(texts: pd.Series, wanted: pd.Series) -> pd.Series:
@@ -161,7 +162,7 @@ def join(docs: DataFrame) -> DataFrame:
     )
     found = links_of(sets, bins, "string")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("l")).agg(F.sum("n").alias("n_links"))
-    classes = materialize(components(found.where("b IS NOT NULL").select("a", "b")), "join-classes")
+    classes = components(found.where("b IS NOT NULL").select("a", "b"))
     of_node = nodes.select("node", "least_id", "n_copies").join(
         classes.select(F.col("node").alias("c"), "root"), F.col("node") == F.col("c"), "left"
     )

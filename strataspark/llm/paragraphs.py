@@ -87,18 +87,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     # candidates go by a 64-bit hash of the node: one that two nodes share only adds a candidate
     keys = nodes.select("short", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most")
-    shared = broadcast_if_small(materialize(shared.select(F.col("key").alias("k"), "least"), "paragraph-bands"))
+    shared = materialize(shared.select(F.col("key").alias("k"), "least"), "paragraph-bands")
+    shared = broadcast_if_small(shared, shared.count())
     candidates = keys.join(shared, F.col("key") == F.col("k")).select(F.col("short").alias("a"), F.col("least").alias("b"))
-    groups = materialize(components(candidates), "paragraph-groups")
+    groups = components(candidates)
+    n_grouped = groups.count()
 
     sizes = groups.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
-    bins = max(1, groups.count() // BLOCK_NODES)
+    bins = max(1, n_grouped // BLOCK_NODES)
     wanted = groups.withColumnRenamed("node", "g").join(sizes, F.col("root") == F.col("r"))
     wanted = wanted.join(nodes, F.col("g") == F.col("short")).select(
         "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
         F.col("first.doc_id").alias("first_id"), F.col("first.line").alias("line"),
     )
-    wanted = broadcast_if_small(materialize(wanted, "paragraph-wanted"))
+    # two nodes of one hash double a row, hardly ever
+    wanted = broadcast_if_small(wanted, n_grouped)
 
     @F.pandas_udf("binary")
     def line_set(texts: pd.Series, lines: pd.Series, keys: pd.Series) -> pd.Series:
@@ -123,7 +126,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     of_node = of_node.withColumn("root", F.coalesce("root", "node")).where("c IS NOT NULL OR n > 1")
     clusters = of_node.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("kept"), F.sum("n").alias("n_places"))
     of_node = of_node.join(clusters, F.col("root") == F.col("r")).select(F.col("node").alias("m"), "kept", "n_places")
-    of_node = materialize(of_node, "paragraph-clusters")
     return found.join(of_node, F.col("node") == F.col("m")).select(
         "doc_id", "line", "n_words",
         F.struct("doc_id", "line").eqNullSafe(F.col("kept")).alias("kept"),
@@ -135,7 +137,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the places that go: their lines leave the text, n_chars follows."""
     columns = docs.columns
     gone = repeats(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__lines"))
-    gone = broadcast_if_small(materialize(gone, "paragraph-gone"))
+    gone = materialize(gone, "paragraph-gone")
+    gone = broadcast_if_small(gone, gone.count())
     cut = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
     left = F.array_join(
         F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains(F.col("__lines"), k)), "\n"

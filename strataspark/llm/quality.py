@@ -21,6 +21,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ DIMS = HASHED + len(REPEATS) + 1
 ORDERS = 5
 #: At most so many labelled rows of each class fit the hinge-loss model; the
 #: log-count ratios always cover all labelled training rows.
-TRAIN_ROWS_PER_CLASS = 1500
+TRAIN_ROWS_PER_CLASS = 1000
 #: Up to so many labels are broadcast to the texts (16 bytes each, measured by
 #: a count); beyond it the join shuffles.
 BROADCAST_LABELS = 1_000_000
@@ -82,22 +83,29 @@ def log_count_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -
 
 
 def dual_coordinate_descent(
-    rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray,
-    dims: int, epochs: int = 30, tolerance: float = 1e-3,
+    rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, cost: np.ndarray,
+    epochs: int = 12, tolerance: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of min |w|^2/2 + sum cost * hinge, one dual variable at a time."""
-    w, bias, alpha = np.zeros(dims), 0.0, np.zeros(len(rows))
-    squares = np.array([float(v @ v) + 1.0 for v in values])
+    """Weights and bias of min |w|^2/2 + sum cost * hinge, one dual variable at a time.
+
+    A row's values are its indicators' ratios over the root of their number; they
+    are taken from ``ratios`` at each step instead of being held.
+    """
+    w, bias, alpha = np.zeros(len(ratios)), 0.0, np.zeros(len(rows))
+    scale = np.array([1.0 / max(1.0, np.sqrt(len(r))) for r in rows])
+    squares = np.array([float(ratios[r] @ ratios[r]) * s * s + 1.0 for r, s in zip(rows, scale, strict=True)])
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
+            own = rows[i]
+            values = ratios[own] * scale[i]
+            gradient = y[i] * (float(w[own] @ values) + bias) - 1.0
             new = min(max(alpha[i] - gradient / squares[i], 0.0), cost[i])
             step = new - alpha[i]
             if step:
                 alpha[i] = new
-                w[rows[i]] += step * y[i] * values[i]
+                w[own] += step * y[i] * values
                 bias += step * y[i]
                 most = max(most, abs(step))
         if most < tolerance:
@@ -127,7 +135,6 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, n_pos: int, n
     Every fourth row of the sample is left out of a first fit, which gives the
     curve unseen margins; the final weights use all rows of the sample.
     """
-    values = [ratios[r] / max(1.0, np.sqrt(len(r))) for r in rows]
     share = {1: n_pos / max(1, (y > 0).sum()), -1: n_neg / max(1, (y < 0).sum())}
     weight = np.array([share[int(v)] for v in y])
 
@@ -135,9 +142,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, n_pos: int, n
         own = y[keep]
         half = {v: len(own) / (2 * max(1, int((own == v).sum()))) for v in (1, -1)}
         cost = np.array([half[int(v)] for v in own])
-        return dual_coordinate_descent(
-            [rows[i] for i in keep], [values[i] for i in keep], own, cost, len(ratios)
-        )
+        return dual_coordinate_descent([rows[i] for i in keep], ratios, own, cost)
 
     ids = np.arange(len(rows))
     out = ids[ids % 4 == 3]
@@ -146,7 +151,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, n_pos: int, n
     else:
         out = ids
         w, bias = solve(ids)
-    margins = np.array([float(w[rows[i]] @ values[i]) + bias for i in out])
+    held = Model(w * ratios, bias, 1.0, 0.0)
+    margins = np.array([held.margin(rows[i]) for i in out])
     slope, shift = logistic_curve(margins, y[out], weight[out] / weight.mean())
     w, bias = solve(ids)
     return Model((w * ratios).astype(np.float64), bias, max(slope, 1e-3), shift)
@@ -238,7 +244,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = sample.iloc[order]
     rows = [np.frombuffer(x, dtype=np.int32) for x in sample["ids"]]
     y = np.where(sample["y"].to_numpy() == 1, 1, -1)
-    return fit(rows, y, log_count_ratios(pos, neg, n_pos, n_neg), n_pos, n_neg)
+    model = fit(rows, y, log_count_ratios(pos, neg, n_pos, n_neg), n_pos, n_neg)
+    del rows, sample, counts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
