@@ -92,6 +92,17 @@ def running_sum(
     )
 
 
+def drawn(df: DataFrame, key: str, wanted: int, rows: int) -> DataFrame:
+    """The ``wanted`` distinct values of ``key`` with the least hash (fewer if there are fewer).
+
+    Of ``rows`` known rows only those whose hash lies below a matching bound compete,
+    so what tasks send to the driver doesn't grow with their number.
+    """
+    share = min(1.0, 2.0 * wanted / max(1, rows))
+    ids = df.select(key).where(F.xxhash64(key) / F.lit(2.0**64) + 0.5 <= share)
+    return ids.distinct().orderBy(F.xxhash64(key) / F.lit(2.0**64), key).limit(wanted)
+
+
 #: Rows (some 100 bytes each) up to which a counted side of a join is broadcast.
 BROADCAST_ROWS = 500_000
 

@@ -186,14 +186,24 @@ def join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id (of its rows, the
-    one with the least text key, then the least hash of all columns)."""
+    one with the least text key, then the least hash of all columns).
+
+    Ids of one row, nearly all, are kept by a semi join on the id. Only rows whose id
+    stands more than once are told apart by their text.
+    """
     columns = docs.columns
     classes = join(docs)
-    kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "node")).alias("k")).where("class_id IS NOT NULL")
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__node"))
     # without any id there is no class id: each text stays once
-    unnamed = classes.where("class_id IS NULL").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
-    kept = kept.unionByName(unnamed)
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"])).where(text_key(F.col("text")) == F.col("__node"))
+    group = F.when(F.col("class_id").isNull(), F.col("node"))
+    kept = classes.groupBy("class_id", group.alias("g")).agg(F.min(F.struct("doc_id", "node")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__node"))
+    times = classes.groupBy(F.col("doc_id").alias("__of")).agg(F.count("*").alias("__rows"))
+    kept = kept.join(times, F.col("__id").eqNullSafe(F.col("__of"))).drop("__of")
+    kept = materialize(kept, "join-kept")
+    n = kept.count()
+    alone, shared = (broadcast_if_small(kept.where(c), n) for c in ("__rows = 1", "__rows > 1"))
+    single = docs.join(alone, docs["doc_id"].eqNullSafe(alone["__id"]), "left_semi").select(*columns)
+    found = docs.join(shared, docs["doc_id"].eqNullSafe(shared["__id"])).where(text_key(F.col("text")) == F.col("__node"))
     one = Window.partitionBy("doc_id", "__node").orderBy(F.xxhash64(*[F.col(c) for c in columns]))
-    return found.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*columns)
+    several = found.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*columns)
+    return single.unionByName(several)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataspark.llm.common import materialize, running_sum
+from strataspark.llm.common import broadcast_if_small, materialize, running_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -27,7 +27,7 @@ SHARE = 1.5
 MOST_REPEATS = 2
 BLOCK_WORDS = 1024
 #: Rows of a bucket of the two-level sums.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Up to so many sources (about 100 bytes each, counted first) are broadcast.
 BROADCAST_SOURCES = 100_000
 PHI = 0.6180339887498949
@@ -199,5 +199,5 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         F.col("uid").alias("__uid"),
         F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies"),
     )
-    taken = whole.join(copies.where("__copies > 0"), "__uid")
+    taken = whole.join(broadcast_if_small(copies.where("__copies > 0"), sizes.count()), "__uid")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)

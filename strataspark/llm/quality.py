@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import text_batches
+from strataspark.llm.common import drawn, text_batches
 
 DIMS_BITS = 17
 HASHED = 1 << DIMS_BITS
@@ -223,10 +223,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     pos, neg = np.zeros(DIMS), np.zeros(DIMS)
     pos[counts["id"]], neg[counts["id"]] = counts["pos"], counts["neg"]
     picked = []
-    for y in (0, 1):
-        of_class = known.where(F.col("y") == y)
-        ids = of_class.select("doc_id").distinct()
-        few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS_PER_CLASS)
+    for y, n in enumerate((n_neg, n_pos)):
+        few = drawn(known.where(F.col("y") == y), "doc_id", TRAIN_ROWS_PER_CLASS, n)
         picked.append([r[0] for r in few.collect()])
     chosen = docs.sparkSession.createDataFrame(
         [(i, y) for y, ids in enumerate(picked) for i in ids], "doc_id long, y int"
