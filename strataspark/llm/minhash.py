@@ -90,7 +90,8 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     n, m = len(left), len(sets) - len(left)
     none = np.empty(0, dtype=np.int64)
-    if not sizes.sum():
+    within = right is None
+    if not sizes.sum() or not n or not (within or m):
         return none, none
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -103,18 +104,18 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None)
     if not len(element):
         return none, none
     element = np.cumsum(np.concatenate([[True], element[1:] != element[:-1]])) - 1
-    shared = np.zeros((n, m or n), dtype=np.float32)
+    shared = np.zeros((n, n if within else m), dtype=np.float32)
     width = max(256, min(8192, (1 << 23) // max(1, len(sets))))
     for low in range(0, int(element[-1]) + 1, width):
         a, b = np.searchsorted(element, [low, low + width])
         has = np.zeros((len(sets), width), dtype=np.float32)
         has[owner[a:b], element[a:b] - low] = 1.0
-        shared += has[:n] @ (has[n:] if m else has).T
+        shared += has[:n] @ (has if within else has[n:]).T
     up, down = SIMILAR
-    other = sizes[n:] if m else sizes
+    other = sizes if within else sizes[n:]
     union = sizes[:n, None] + other[None, :] - shared
     alike = (down * shared >= up * union) & (shared > 0)
-    if not m:
+    if within:
         alike = np.triu(alike, 1)
     return np.nonzero(alike)
 
