@@ -147,9 +147,10 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     )
                 )
             before = None if ghost else (bucket, doc_id, text, found)
-        out = pd.DataFrame(rows, columns=names)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+        if rows:
+            out = pd.DataFrame(rows, columns=names)
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
 
 
 def with_edits(docs: DataFrame) -> DataFrame:

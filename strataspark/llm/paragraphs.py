@@ -113,10 +113,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     texts = docs.select("doc_id", "text")
-    sets = (
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]))
-        .select("node", "root", "blocks", "block", line_set("text", "line", "node").alias("shingles"))
-        .where("shingles IS NOT NULL")
+    sets = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"])).select(
+        "node", "root", "blocks", "block", line_set("text", "line", "node").alias("shingles")
     )
     links = links_of(sets, bins, "binary")
     classes = components(links.where("b IS NOT NULL").select("a", "b"))
