@@ -28,6 +28,7 @@ from strataspark.functions.conditions import Functions, Triple, condition_fields
 Subrecords = list[tuple[str, bytes]]
 Lookup = Callable[[int], "str | None"]
 
+# Layouts of the records' subrecords.
 SPECS: dict[str, list[str]] = {
     "WEAP": [
         "DNAM>=170 animation_type=enum32:WEAP_ANIMATION_TYPE@0 speed=f4@4 reach=f4@8 min_range=f1@24 max_range=f1@28"

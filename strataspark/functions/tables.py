@@ -62,7 +62,29 @@ CONDITION_RUN_ON = {
 PARAMETER_KINDS = ("none", "string", "integer", "float", "formid", "actor_value", "axis")
 AXES = {0: "X", 1: "Y", 2: "Z"}
 
-# Record types of placements, which ingest skips; types the id heuristic looks at;
-# name patterns of cut and test content.
+# Record types of placements, which ingest skips, and the flag of packed records.
 SKIPPED_TYPES = ("REFR", "NAVM", "ACHR", "PGRE", "PMIS", "PHZD", "PARW")
 COMPRESSED_FLAG = 0x00040000
+
+# Display names of record types.
+TYPE_NAMES = {
+    "AACT": "Action", "ACHR": "Placed NPC", "ACTI": "Activator", "ALCH": "Ingestible", "AMMO": "Ammunition",
+    "ANIO": "Animated Object", "ARMA": "Armor Addon", "ARMO": "Armor", "ARTO": "Art Object", "ASPC": "Acoustic Space",
+    "AVIF": "Actor Value", "BOOK": "Book/Note/Holotape", "CELL": "Cell", "CLAS": "Class", "CLMT": "Climate", "CNCY": "Currency",
+    "COBJ": "Constructible Object", "COLL": "Collision Layer", "CONT": "Container", "CSTY": "Combat Style", "CURV": "Curve Table",
+    "DIAL": "Dialog Topic", "DLBR": "Dialog Branch", "DMGT": "Damage Type", "DOOR": "Door", "ENCH": "Object Effect",
+    "ENTM": "Entitlement", "EQUP": "Equip Type", "EXPL": "Explosion", "FACT": "Faction", "FLOR": "Flora", "FLST": "FormID List",
+    "FURN": "Furniture", "GLOB": "Global", "GMST": "Game Setting", "GRAS": "Grass", "HAZD": "Hazard", "HDPT": "Head Part",
+    "IDLE": "Idle Animation", "IDLM": "Idle Marker", "IMAD": "Image Space Adapter", "IMGS": "Image Space", "INFO": "Dialog Response",
+    "INGR": "Ingredient", "IPCT": "Impact", "IPDS": "Impact Data Set", "KEYM": "Key", "KYWD": "Keyword", "LAYR": "Layer",
+    "LCRT": "Location Ref Type", "LCTN": "Location", "LENS": "Lens Flare", "LGTM": "Lighting Template", "LIGH": "Light",
+    "LSCR": "Load Screen", "LTEX": "Landscape Texture", "LVLI": "Leveled Item", "LVLN": "Leveled NPC", "MATT": "Material Type",
+    "MESG": "Message", "MGEF": "Magic Effect", "MISC": "Misc Item", "MOVT": "Movement Type", "MSTT": "Moveable Static",
+    "MUSC": "Music Type", "MUST": "Music Track", "NAVM": "Navmesh", "NOTE": "Note", "NPC_": "Non-Player Character",
+    "OMOD": "Object Modification", "OTFT": "Outfit", "PACK": "Package", "PERK": "Perk", "PKIN": "Pack-In", "PROJ": "Projectile",
+    "QUST": "Quest", "RACE": "Race", "REFR": "Placed Object", "REGN": "Region", "RELA": "Relationship", "REVB": "Reverb Parameters",
+    "RFGP": "Reference Group", "SCEN": "Scene", "SCOL": "Static Collection", "SMBN": "Story Manager Branch Node",
+    "SMQN": "Story Manager Quest Node", "SNCT": "Sound Category", "SNDR": "Sound Descriptor", "SOPM": "Sound Output Model",
+    "SOUN": "Sound Marker", "SPEL": "Spell", "STAT": "Static", "TACT": "Talking Activator", "TERM": "Terminal", "TRNS": "Transform",
+    "TXST": "Texture Set", "VTYP": "Voice Type", "WATR": "Water", "WEAP": "Weapon", "WRLD": "Worldspace", "WTHR": "Weather",
+}

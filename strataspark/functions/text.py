@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strataspark.functions.tables import TYPE_NAMES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An escape character that doesn't occur in patterns: these have no escapes.
 NO_ESCAPE = "\x01"
@@ -86,6 +88,12 @@ def has_flag(flags: Column, mask: int) -> Column:
     return flags.bitwiseAND(F.lit(mask)) != 0
 
 
+def type_name(record_type: Column) -> Column:
+    """Display name of a record type, the type itself where it has none."""
+    pairs = [F.lit(x) for item in TYPE_NAMES.items() for x in item]
+    return F.coalesce(F.element_at(F.create_map(*pairs), record_type), record_type)
+
+
 def choose(table: dict[int, str], value: Column) -> Column:
     """Text of a code, the code itself where the table doesn't have it."""
     pairs = [F.lit(x) for item in sorted(table.items()) for x in item]

@@ -73,6 +73,10 @@ def type_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("record_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "record_type")
 
 
+def string_count(strings: DataFrame) -> DataFrame:
+    return strings.agg(F.count("*").alias("n"))
+
+
 def subrecord_stats(raw: DataFrame, top: int = 30) -> DataFrame:
     """record_type, n, subrecords of the most frequent types of a record file."""
     stats = raw.groupBy("record_type").agg(

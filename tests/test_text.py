@@ -42,6 +42,7 @@ def test_names_and_escapes(spark):
     assert column(spark, ["abcd", "abc", None], "string", lambda v: T.shortened(v, 3)) == ["abc...", "abc", None]
     assert column(spark, ["a\\b.c.d", "x"], "string", lambda v: T.with_extension(T.slashes(v), ".z")) == ["a/b.c.z", "x.z"]
     assert column(spark, [True, False, None], "boolean", T.bool_text) == ["True", "False", None]
+    assert column(spark, ["WEAP", "????", None], "string", T.type_name) == ["Weapon", "????", None]
     assert column(spark, [6, 7, None], "int", lambda v: T.choose({6: "six"}, v)) == ["six", "7", None]
 
 
