@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataspark.functions import tables
 from strataspark.functions.text import bool_text, choose, display_name, fixed, has_flag, hex_id, parse_hex, present, shortened
+from strataspark.ingest import decoded
 from strataspark.operators import diff, lookups, refs, search, tree, unreleased
 from strataspark.plans import views
 from strataspark.plans.views import read, with_views
@@ -337,6 +340,25 @@ def decode_float_text(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""SELECT p_partkey AS form_id, f.field_name, CASE f.field_name WHEN 'value' THEN cents::VARCHAR ELSE printf('%.2f', (p_size / 8)::FLOAT::DOUBLE) END AS field_value,
+    f.field_type, f.ordinal FROM (SELECT p_partkey, p_size, round(p_retailprice * 100)::INTEGER AS cents FROM part),
+    (VALUES (0, 'value', 'int'), (1, 'weight', 'float')) f(ordinal, field_name, field_type)""")
+def decode_misc_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Parts as records in bytes, decoded again by the engine's decoder."""
+
+    @F.pandas_udf("array<struct<type: string, size: int, data: binary>>")
+    def encode(cents: pd.Series, size: pd.Series) -> pd.Series:
+        data = [struct.pack("<if", c, n / 8) for c, n in zip(cents, size, strict=True)]
+        return pd.Series([[{"type": "DATA", "size": len(x), "data": x}] for x in data], dtype=object)
+
+    raw = read(s, d, "part").select(
+        F.col("p_partkey").alias("ordinal"), F.col("p_partkey").alias("form_id"), F.lit("MISC").alias("record_type"),
+        encode(F.round(F.col("p_retailprice") * 100).cast("int"), "p_size").alias("subrecords"),
+    )
+    none = s.createDataFrame([], "string_id long, text string")
+    return decoded(raw, none).select("form_id", "field_name", "field_value", "field_type", "ordinal")
+
+
 @query("""SELECT p_partkey, printf('0x%08X', p_partkey * 2654435) AS flags,
     CASE WHEN p_partkey & 1 <> 0 THEN 'True' ELSE 'False' END AS is_one, CASE WHEN p_partkey & 128 <> 0 THEN 'True' ELSE 'False' END AS is_high FROM part""")
 def decode_flags(s: SparkSession, d: str) -> DataFrame:
