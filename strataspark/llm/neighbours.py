@@ -15,8 +15,9 @@ reranked; ``recall`` measures it against brute force.
 Defined results: vectors that are null, zero, hold null or non-finite components
 or have another length than most take no part, neither as queries nor as
 candidates; rows of one vec_id are one candidate (its nearest vector) and one
-query; null ids take no part; with fewer candidates than asked for, all that
-were found are returned. Other columns are ignored.
+query; null ids take no part. Queries whose buckets hold fewer rows than asked for
+are searched exactly; with fewer candidates than asked for, all are returned.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataspark.llm.common import materialize
+
 TABLES, PROBES, AXES = 8, 16, 64
 SLICE_ROWS = 4096
 NEAREST = 20
@@ -132,15 +135,16 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARES
     index = index.join(slices, same).select(
         "table", "bucket", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), "vec_id", "v"
     )
-    probing = (
-        asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-        .select("query_id", "q", F.posexplode(probes("q")).alias("table", "codes"))
-        .select("query_id", "q", "table", F.explode("codes").alias("bucket"))
-        .join(slices, same)
-        .select(
+    def visiting(probed: DataFrame) -> DataFrame:
+        """Query rows (query_id, q, table, bucket), one for each slice of their buckets."""
+        return probed.join(slices, same).select(
             F.col("table").alias("q_table"), F.col("bucket").alias("q_bucket"),
             F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("q_slice"), "query_id", "q",
         )
+
+    wanted = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    probed = wanted.select("query_id", "q", F.posexplode(probes("q")).alias("table", "codes")).select(
+        "query_id", "q", "table", F.explode("codes").alias("bucket")
     )
 
     def rerank(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
@@ -166,21 +170,30 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARES
                 place = np.arange(len(i)) - np.searchsorted(i, i)
                 keep = place < k
                 out.append(pd.DataFrame({"query_id": own[i[keep]], "vec_id": ids[j[keep]], "score": score[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = (
-        probing.groupBy("q_table", "q_bucket", "q_slice")
-        .cogroup(index.groupBy("table", "bucket", "slice"))
-        .applyInPandas(rerank, "query_id long, vec_id long, score double")
-        .groupBy("query_id", "vec_id")
-        .agg(F.max("score").alias("score"))
-    )
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(nearest))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        none = np.empty(0, dtype=np.int64)
+        return pd.concat(out) if out else pd.DataFrame({"query_id": none, "vec_id": none, "score": np.empty(0)})
+
+    def nearest(probed: DataFrame) -> DataFrame:
+        found = (
+            visiting(probed)
+            .groupBy("q_table", "q_bucket", "q_slice")
+            .cogroup(index.groupBy("table", "bucket", "slice"))
+            .applyInPandas(rerank, "query_id long, vec_id long, score double")
+            .groupBy("query_id", "vec_id")
+            .agg(F.max("score").alias("score"))
+        )
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
+
+    top = materialize(nearest(probed), "nearest")
+    full = top.where(F.col("rank") == k).select("query_id")
+    short = wanted.join(full, "query_id", "left_anti")
+    if short.isEmpty():
+        return top
+    # the exact way for queries whose buckets had too few rows: all buckets of one table
+    every = short.select("query_id", "q", F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(2 * AXES - 1))).alias("bucket"))
+    return top.join(full, "query_id", "left_semi").unionByName(nearest(every))
 
 
 def exact(vectors: pd.DataFrame, k: int = NEAREST) -> pd.DataFrame:
