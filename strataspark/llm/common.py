@@ -47,10 +47,25 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables that this process has materialized; for when their results are
+    written. Returns how many there were."""
+    for path in _written:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small (never raises a lower setting)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
