@@ -168,31 +168,42 @@ def _single(data: bytes, at: int, digits: int) -> str:
     return f"{struct.unpack_from('<f', data, at)[0]:.{digits}f}"
 
 
-def _value(kind: str, data: bytes, at: int) -> tuple[str, str] | None:
-    """(text, field type) of one value; None if it isn't shown."""
+Shown = tuple[str, str]
+
+
+@lru_cache(maxsize=None)
+def reader(kind: str) -> Callable[[bytes, int], "Shown | None"]:
+    """What reads one value of a kind at an offset: (text, field type), None if it isn't shown."""
     optional = kind.endswith("?")
     base, _, table = kind.rstrip("?").partition(":")
     if base == "text":
-        return text_of(data), "str"
+        return lambda data, at: (text_of(data), "str")
     if base[0] == "f":
-        return _single(data, at, int(base[1:])), "float"
+        single, form = struct.Struct("<f").unpack_from, f"%.{base[1:]}f"
+        return lambda data, at: (form % single(data, at), "float")
     if base == "i32":
-        return str(int.from_bytes(data[at : at + 4], "little", signed=True)), "int"
+        signed = struct.Struct("<i").unpack_from
+        return lambda data, at: (str(signed(data, at)[0]), "int")
     if base.startswith("bool"):
-        mask = int(table, 0)
-        number = _unsigned(data, at, int(base[4:] or 1))
-        return str(bool(number & mask if mask else number)), "str"
+        mask, size = int(table, 0) or -1, int(base[4:] or 1)
+        return lambda data, at: (str(bool(_unsigned(data, at, size) & mask)), "str")
     if base.startswith("enum"):
-        number = _unsigned(data, at, int(base[4:]) // 8)
-        return getattr(tables, table).get(number, str(number)), "enum"
+        names, size = getattr(tables, table), int(base[4:]) // 8
+
+        def chosen(data: bytes, at: int) -> Shown:
+            number = _unsigned(data, at, size)
+            return names.get(number, str(number)), "enum"
+
+        return chosen
     size = {"id": 4, "u8": 1, "u16": 2, "u32": 4, "h2": 1, "h4": 2, "h8": 4}[base]
-    number = _unsigned(data, at, size)
-    if optional and not number:
-        return None
-    if base[0] == "u":
-        return str(number), "int"
-    digits = 8 if base == "id" else int(base[1:])
-    return f"0x{number:0{digits}X}", "formid" if base == "id" else "flags"
+    form = "%d" if base[0] == "u" else f"0x%0{8 if base == 'id' else base[1:]}X"
+    own = "int" if base[0] == "u" else "formid" if base == "id" else "flags"
+
+    def number_of(data: bytes, at: int) -> Shown | None:
+        number = _unsigned(data, at, size)
+        return None if optional and not number else (form % number, own)
+
+    return number_of
 
 
 @lru_cache(maxsize=None)
@@ -207,21 +218,29 @@ def parsed(block: str):
     return m[1], m[2] or "", int(m[3] or 0), int(m[4]), values
 
 
-def _block(block: str, subs: Subrecords) -> list[Triple]:
+@lru_cache(maxsize=None)
+def _compiled(block: str):
     name, mode, entry, least, values = parsed(block)
+    return name, mode, entry, least, [(field, reader(kind), at, needed) for field, kind, at, needed in values]
+
+
+def _block(block: str, subs: Subrecords) -> list[Triple]:
+    name, mode, entry, least, values = _compiled(block)
     if mode == "*":
         parts = [(i, d) for i, d in enumerate(d for n, d in subs if n == name) if len(d) >= least]
     else:
         data = first(subs, name)
         if data is None or len(data) < least:
             return []
-        parts = [(i, data[i * entry : (i + 1) * entry]) for i in range(len(data) // entry)] if entry else [(0, data)]
-    out = []
-    for i, data in parts:
-        for field, kind, at, needed in values:
-            if len(data) >= needed and (shown := _value(kind, data, at)) is not None:
-                out.append((field.replace("{i}", str(i)), *shown))
-    return out
+        if not entry:
+            return [(f, *shown) for f, read, at, needed in values if len(data) >= needed and (shown := read(data, at)) is not None]
+        parts = [(i, data[i * entry : (i + 1) * entry]) for i in range(len(data) // entry)]
+    return [
+        (field.replace("{i}", str(i)), *shown)
+        for i, data in parts
+        for field, read, at, needed in values
+        if len(data) >= needed and (shown := read(data, at)) is not None
+    ]
 
 
 def _effects(subs: Subrecords, look_up: Lookup) -> list[Triple]:
@@ -247,7 +266,7 @@ def _setting(subs: Subrecords, look_up: Lookup) -> list[Triple]:
         case "f":
             return [("value", _single(data, 0, 6), "float")]
         case "i" | "u":
-            return [("value", *_value("i32", data, 0))]
+            return [("value", *reader("i32")(data, 0))]
         case "s":
             return [("value", text_of(data), "str")]
         case "b":
