@@ -113,7 +113,7 @@ def test_small_formats():
     assert binary.script_header(b"x" * 20) is None
     bgsm = b"BGSM" + bytes(56) + struct.pack("<I", 10) + b"t/tex.dds\0" + bytes(10)
     assert binary.material_texture(bgsm) == "t/tex.dds" and binary.material_texture(b"BGSM") is None
-    head = b"Gamebryo\n" + struct.pack("<IBIII", 0x14020007, 1, 12, 2, 155) + b"\1a" * 3 + b"\1b" * 3 + b"\0\0"
+    head = b"A model file\n" + struct.pack("<IBIII", 0x14020007, 1, 12, 2, 155) + b"\1a" * 3 + b"\1b" * 3 + b"\0\0"
     nif = head + struct.pack("<H", 1) + struct.pack("<I", 4) + b"Node" + bytes(2 * 2 + 4 * 2)
     nif += struct.pack("<II", 2, 30) + struct.pack("<I", 9) + b"m\\x.BGSM\0"[:8] + b"s" + struct.pack("<I", 3) + b"abc"
     assert binary.model_materials(nif) == [] and binary.model_materials(b"none") == []
