@@ -36,7 +36,7 @@ DIMS = HASHED + len(REPEATS) + 1
 ORDERS = 5
 #: At most so many labelled rows of each class fit the hinge-loss model; the
 #: log-count ratios always cover all labelled training rows.
-TRAIN_ROWS_PER_CLASS = 1000
+TRAIN_ROWS_PER_CLASS = 800
 #: Up to so many labels are broadcast to the texts (16 bytes each, measured by
 #: a count); beyond it the join shuffles.
 BROADCAST_LABELS = 1_000_000
