@@ -47,6 +47,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def shingles(normalised: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words; shorter texts
     that have a word are one run, empty ones have none."""
+    return np.unique(runs(normalised, words))
+
+
+def runs(normalised: bytes, words: int) -> np.ndarray:
+    """The same hashes, one for each run, in text order."""
     if not normalised:
         return np.empty(0, dtype=np.uint64)
     data = np.frombuffer(normalised, dtype=np.uint8)
@@ -61,7 +66,7 @@ def shingles(normalised: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
     h = (total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts]
-    return np.unique(_mixed(h + (ends - starts).astype(np.uint64)))
+    return _mixed(h + (ends - starts).astype(np.uint64))
 
 
 @lru_cache(maxsize=4)

@@ -7,27 +7,43 @@ collide are joined, their shingle sets compared exactly, and the verified links
 clustered by components. Of each cluster the first place (least doc_id, then
 line) stays, the other places go.
 
+Passages cover every word that is left then, whatever the lines: of a text's words
+(without the lines that went) each window of ANCHOR_WORDS words has a hash, and the
+least hash of any REACH + 1 windows in a row is an anchor (winnowing), so that texts
+that share LEAST_WORDS words in a row share an anchor. Words around a place of an anchor
+are compared with those around its first place; equal runs of at least LEAST_WORDS
+words go, but for the first place.
+
 Defined results: a null text is an empty one; texts without such a line are left
-alone; rows of one id are one document and keep or lose the same lines; null ids
+alone by the first step; rows of one id, or of none, are rows of their own; null ids
 come first. Result: one row per place of a cluster with at least two. Other
 columns are ignored by ``repeats`` and kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataspark.llm.common import broadcast_if_small, materialize, text_batches
 from strataspark.llm.components import components
 from strataspark.llm.jaccard_join import BLOCK_NODES, links_of
-from strataspark.llm.minhash import SIMILAR, key_of, normal, shingles, signature
+from strataspark.llm.minhash import SIMILAR, key_of, normal, runs, shingles, signature
 
 LEAST_WORDS = 50
 VALUES = 72
+#: Words as ``normal`` parts them.
+SPACED = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+COLUMNS = ["doc_id", "line", "n_words", "kept", "first_doc_id", "first_line", "n_places"]
 TARGET_RECALL = 0.995
+#: Words of an anchor's window; windows, beside its own, among which it is the least.
+ANCHOR_WORDS = LEAST_WORDS // 2
+REACH = LEAST_WORDS - ANCHOR_WORDS
 
 
 def tuned_bands(values: int = VALUES, target: float = TARGET_RECALL) -> tuple[int, int]:
@@ -50,8 +66,14 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, text and the whole row of every row of ``docs``, written once."""
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    return materialize(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", others.alias("row")), "paragraph-rows")
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """doc_id, line, n_words, node, keys of every paragraph, written once."""
+    """uid, doc_id, line, n_words, node, keys of every paragraph, written once."""
     text_batches(docs.sparkSession)
     bands, rows = tuned_bands()
 
@@ -70,16 +92,21 @@ def places(docs: DataFrame) -> DataFrame:
             out.append(found)
         return pd.Series(out, dtype=object)
 
-    found = docs.select("doc_id", F.explode(run("text")).alias("p")).select("doc_id", "p.*")
+    found = docs.select("uid", "doc_id", F.explode(run("text")).alias("p")).select("uid", "doc_id", "p.*")
     return materialize(found, "paragraphs")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, line, n_words, kept, first_doc_id, first_line, n_places of every place of
     a cluster of alike paragraphs."""
+    return _repeats(_rows(docs)).select(*COLUMNS)
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
+    """``repeats`` of a table of ``_rows``, with the uid."""
     found = places(docs)
     nodes = found.groupBy("node").agg(
-        F.min(F.struct("doc_id", "line")).alias("first"),
+        F.min(F.struct("doc_id", "line", "uid")).alias("first"),
         F.count("*").alias("n"),
         F.any_value("keys").alias("keys"),
     )
@@ -98,7 +125,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = groups.withColumnRenamed("node", "g").join(sizes, F.col("root") == F.col("r"))
     wanted = wanted.join(nodes, F.col("g") == F.col("short")).select(
         "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-        F.col("first.doc_id").alias("first_id"), F.col("first.line").alias("line"),
+        F.col("first.uid").alias("first_uid"), F.col("first.line").alias("line"),
     )
     # two nodes of one hash double a row, hardly ever
     wanted = broadcast_if_small(wanted, n_grouped)
@@ -112,8 +139,8 @@ def repeats(docs: DataFrame) -> DataFrame:
             out.append(shingles(words).tobytes() if key_of(words) == node else None)
         return pd.Series(out, dtype=object)
 
-    texts = docs.select("doc_id", "text")
-    sets = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"])).select(
+    texts = docs.select("uid", "text")
+    sets = texts.join(wanted, texts["uid"] == wanted["first_uid"]).select(
         "node", "root", "blocks", "block", line_set("text", "line", "node").alias("shingles")
     )
     links = links_of(sets, bins, "binary")
@@ -125,26 +152,184 @@ def repeats(docs: DataFrame) -> DataFrame:
     clusters = of_node.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("kept"), F.sum("n").alias("n_places"))
     of_node = of_node.join(clusters, F.col("root") == F.col("r")).select(F.col("node").alias("m"), "kept", "n_places")
     return found.join(of_node, F.col("node") == F.col("m")).select(
-        "doc_id", "line", "n_words",
-        F.struct("doc_id", "line").eqNullSafe(F.col("kept")).alias("kept"),
+        "uid", "doc_id", "line", "n_words",
+        F.struct("doc_id", "line", "uid").eqNullSafe(F.col("kept")).alias("kept"),
         F.col("kept.doc_id").alias("first_doc_id"), F.col("kept.line").alias("first_line"), "n_places",
     )
 
 
+def _stream(text: str | None, gone: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
+    """Words of the lines that didn't go, and the line of each."""
+    out: list[bytes] = []
+    lines: list[int] = []
+    skip = set() if gone is None else set(gone)
+    for k, line in enumerate((text or "").split("\n")):
+        if k not in skip:
+            words = normal(line).split()
+            out += words
+            lines += [k] * len(words)
+    return out, np.array(lines, dtype=np.int64)
+
+
+def anchors_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of a text's words."""
+    if len(words) < LEAST_WORDS:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    h = runs(b" ".join(words), ANCHOR_WORDS)
+    least = np.lib.stride_tricks.sliding_window_view(h, REACH + 1).argmin(axis=1)
+    at = np.unique(least + np.arange(len(least)))
+    return at, h[at].view(np.int64)
+
+
+def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """uid, doc_id, kept, start, end, line, first_doc_id, first_line, n_places of the places
+    of repeated runs of words. ``docs``: uid, doc_id, text; ``gone``: __uid, __lines."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    whole = docs.select("uid", "doc_id", "text").join(gone, F.col("uid") == F.col("__uid"), "left")
+
+    @F.pandas_udf("array<struct<pos: int, h: long>>")
+    def anchors(texts: pd.Series, lines: pd.Series) -> pd.Series:
+        out = []
+        for text, k in zip(texts, lines, strict=True):
+            at, h = anchors_of(_stream(text, k)[0])
+            out.append([{"pos": p, "h": x} for p, x in zip(at.tolist(), h.tolist(), strict=True)])
+        return pd.Series(out, dtype=object)
+
+    found = whole.select("uid", "doc_id", F.explode(anchors("text", "__lines")).alias("a")).select("uid", "doc_id", "a.*")
+    found = materialize(found, "passage-anchors")
+    shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
+    shared = materialize(shared.where("n > 1").withColumnRenamed("h", "g"), "passage-shared")
+    wanted = found.join(shared.select("g"), F.col("h") == F.col("g"), "left_semi")
+    wanted = wanted.groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+
+    @F.pandas_udf("array<struct<pos: int, h: long, line: int, before: binary, after: binary, lines: binary>>")
+    def around(texts: pd.Series, lines: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for text, k, at in zip(texts, lines, places, strict=True):
+            words, line = _stream(text, k)
+            h = runs(b" ".join(words), 1).astype("<u4")
+            own = []
+            for a in at:
+                p = a["pos"]
+                low, end = max(0, p - REACH), p + ANCHOR_WORDS
+                own.append({
+                    "pos": p, "h": a["h"], "line": int(line[p]), "before": h[low:p][::-1].tobytes(),
+                    "after": h[end : end + REACH].tobytes(), "lines": line[low : p + 1][::-1].astype("<i4").tobytes(),
+                })
+            out.append(own)
+        return pd.Series(out, dtype=object)
+
+    places = whole.join(wanted, F.col("uid") == F.col("u")).select(
+        "uid", "doc_id", F.explode(around("text", "__lines", "at")).alias("a")
+    )
+    places = materialize(places.select("uid", "doc_id", "a.*"), "passage-places")
+    of = shared.select("g", "n", F.col("first.uid").alias("fu"), F.col("first.pos").alias("fp"))
+    first = places.join(of, (F.col("h") == F.col("g")) & (F.col("uid") == F.col("fu")) & (F.col("pos") == F.col("fp"))).select(
+        "g", "n", "fu", "fp", F.col("doc_id").alias("fd"), *[F.col(c).alias(f"f_{c}") for c in ("before", "after", "lines")]
+    )
+
+    @F.pandas_udf("struct<b: int, f: int, line: int, first_line: int>")
+    def extent(before: pd.Series, f_before: pd.Series, after: pd.Series, f_after: pd.Series, lines: pd.Series, f_lines: pd.Series) -> pd.DataFrame:
+        def same(x: bytes, y: bytes) -> int:
+            n = min(len(x), len(y)) // 4
+            other = np.flatnonzero(np.frombuffer(x, "<u4", n) != np.frombuffer(y, "<u4", n))
+            return int(other[0]) if len(other) else n
+
+        b = [same(x, y) for x, y in zip(before, f_before, strict=True)]
+        f = [same(x, y) for x, y in zip(after, f_after, strict=True)]
+        at = lambda column: [int(np.frombuffer(x, "<i4")[k]) for x, k in zip(column, b, strict=True)]
+        return pd.DataFrame({"b": b, "f": f, "line": at(lines), "first_line": at(f_lines)})
+
+    met = places.join(first, F.col("h") == F.col("g")).where(~((F.col("uid") == F.col("fu")) & (F.col("pos") == F.col("fp"))))
+    met = met.withColumn("e", extent("before", "f_before", "after", "f_after", "lines", "f_lines")).select(
+        "uid", "doc_id", "pos", "fu", "fd", "fp", "n", "e.*"
+    )
+    met = materialize(met, "passage-met").where(F.col("b") + F.col("f") + ANCHOR_WORDS >= LEAST_WORDS)
+    start, end = (lambda p: F.col(p) - F.col("b")), (lambda p: F.col(p) + ANCHOR_WORDS + F.col("f"))
+    more = lambda kept, uid, doc, pos, line: met.select(
+        F.col(uid).alias("uid"), F.col(doc).alias("doc_id"), F.lit(kept).alias("kept"), start(pos).alias("start"),
+        end(pos).alias("end"), F.col(line).alias("line"), F.col("fd").alias("first_doc_id"), "first_line", F.col("n").alias("n_places"),
+    )
+    both = more(False, "uid", "doc_id", "pos", "line").unionAll(more(True, "fu", "fd", "fp", "first_line")).distinct()
+    # runs that overlap are one: a run starts where all before it in the text have ended
+    order = Window.partitionBy("uid", "kept").orderBy("start", "end")
+    ended = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("new", F.coalesce(F.col("start") > ended, F.lit(True)).cast("int"))
+    both = both.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    head = F.min(F.struct("start", "line", "first_doc_id", "first_line"))
+    merged = both.groupBy("uid", "kept", "run").agg(
+        F.any_value("doc_id").alias("doc_id"), head.alias("s"), F.max("end").alias("end"), F.max("n_places").alias("n_places")
+    )
+    merged = materialize(
+        merged.select("uid", "doc_id", "kept", F.col("s.start"), "end", F.col("s.line"), F.col("s.first_doc_id"), F.col("s.first_line"), "n_places"),
+        "passage-runs",
+    )
+    # the first place of one anchor may go for another anchor's sake: then it isn't kept
+    lost = merged.where(~F.col("kept")).groupBy(F.col("uid").alias("l")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    within = F.exists("spans", lambda x: (x["start"] <= F.col("start")) & (x["end"] >= F.col("end")))
+    stays = merged.where("kept").join(lost, F.col("uid") == F.col("l"), "left").where(~F.coalesce(within, F.lit(False)))
+    return merged.where(~F.col("kept")).unionByName(stays.drop("l", "spans"))
+
+
+def _gone(lines: DataFrame) -> DataFrame:
+    gone = lines.where(~F.col("kept")).groupBy(F.col("uid").alias("__uid")).agg(F.collect_set("line").alias("__lines"))
+    gone = materialize(gone, "paragraph-gone")
+    return broadcast_if_small(gone, gone.count())
+
+
+def all_repeats(docs: DataFrame) -> DataFrame:
+    """The columns of ``repeats``: its places, and those of repeated passages in what is
+    left, with the line in which they start."""
+    rows = _rows(docs)
+    lines = materialize(_repeats(rows), "paragraph-repeats")
+    runs_ = passages(rows, _gone(lines)).withColumn("n_words", F.col("end") - F.col("start"))
+    return lines.select(*COLUMNS).unionByName(runs_.select(*COLUMNS))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without the places that go: their lines leave the text, n_chars follows."""
+    """``docs`` without the places that go: lines that lose all their words leave the text,
+    lines that lose some keep the others, one space between; n_chars follows."""
     columns = docs.columns
-    gone = repeats(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__lines"))
-    gone = materialize(gone, "paragraph-gone")
-    gone = broadcast_if_small(gone, gone.count())
-    cut = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
-    left = F.array_join(
-        F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains(F.col("__lines"), k)), "\n"
+    rows = _rows(docs)
+    gone = _gone(_repeats(rows))
+    spans = passages(rows, gone).where(~F.col("kept")).groupBy(F.col("uid").alias("__of")).agg(
+        F.collect_list(F.struct("start", "end")).alias("__spans")
     )
-    cut = cut.withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in columns:
-        cut = cut.withColumn(
-            "n_chars",
-            F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")),
-        )
-    return cut.select(*columns)
+    spans = materialize(spans, "passage-gone")
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, lines: pd.Series, cuts: pd.Series) -> pd.Series:
+        out = []
+        for text, k, own in zip(texts, lines, cuts, strict=True):
+            if text is None or (k is None and own is None):
+                out.append(text)
+                continue
+            skip, at, kept = set() if k is None else set(k), 0, []
+            cut = np.zeros(len(_stream(text, k)[0]), dtype=bool)
+            for c in own if own is not None else ():
+                cut[c["start"] : c["end"]] = True
+            for i, line in enumerate(text.split("\n")):
+                if i in skip:
+                    continue
+                n = len(normal(line).split())
+                lost = cut[at : at + n]
+                at += n
+                if not lost.any():
+                    kept.append(line)
+                elif not lost.all():
+                    kept.append(" ".join(w for w, x in zip(SPACED.findall(line), lost, strict=True) if not x))
+            out.append("\n".join(kept))
+        return pd.Series(out, dtype=object)
+
+    cut = rows.join(gone, F.col("uid") == F.col("__uid"), "left")
+    cut = cut.join(broadcast_if_small(spans, spans.count()), F.col("uid") == F.col("__of"), "left")
+    cut = cut.select("uid", "__lines", "__spans", left("text", "__lines", "__spans").alias("__text"), F.col("row"))
+    whole = F.col("__lines").isNull() & F.col("__spans").isNull()
+    made = [F.col(f"row.`{c}`").alias(c) for c in columns]
+    for i, c in enumerate(columns):
+        if c == "text":
+            made[i] = F.col("__text").alias(c)
+        elif c == "n_chars":
+            made[i] = F.when(whole, F.col("row.n_chars")).otherwise(F.char_length("__text").cast("long")).alias(c)
+    return cut.select(*made)

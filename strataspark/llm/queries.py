@@ -48,7 +48,7 @@ def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(_read(spark, sf_dir, "documents"))
+    return paragraphs.all_repeats(_read(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

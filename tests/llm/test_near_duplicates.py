@@ -236,3 +236,31 @@ def test_paragraphs_of_odd_tables(spark):
     rows = [(None, long, None, None, None), (5, long, None, None, None), (5, long, None, None, None)]
     got = sorted(((r["doc_id"] is None, r["kept"], r["n_places"]) for r in paragraphs.repeats(spark.createDataFrame(rows, DOCS)).collect()))
     assert got == [(False, False, 3), (False, False, 3), (True, True, 3)]
+
+
+def test_passages_over_short_lines_and_within_long_ones_go(spark):
+    rng = random.Random(4)
+    para = lambda n: [word(rng) for _ in range(n)]
+    run = para(60)
+    wrapped = "\n".join(" ".join(run[k : k + 12]) for k in range(0, 60, 12))
+    inside = " ".join(para(200) + run + para(200))
+    own = [" ".join(para(20)) for _ in range(2)]
+    rows = [(1, own[0] + "\n" + wrapped), (2, inside), (3, wrapped + "\n" + own[1]), (4, " ".join(run[:49]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    out = {r["doc_id"]: r for r in paragraphs.remove_repeats(docs).collect()}
+    words = inside.split()
+    assert out[1]["text"] == rows[0][1] and out[2]["text"].split() == words[:200] + words[260:]
+    assert out[3]["text"] == own[1] and out[3]["n_chars"] == len(own[1]) and out[4]["text"] == rows[3][1]
+    found = {tuple(r) for r in paragraphs.all_repeats(docs).collect()}
+    assert {x[:6] for x in found} == {(1, 1, 60, True, 1, 1), (2, 0, 60, False, 1, 1), (3, 0, 60, False, 1, 1)}
+
+
+def test_rows_without_an_id_or_of_one_id_lose_their_own_lines_only(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(word(rng) for _ in range(n))
+    same, others = line(60), [line(55) for _ in range(4)]
+    texts = [(None, same), (None, others[0]), (None, "short\n" + same), (7, others[1]), (7, same), (None, others[2]), (7, others[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], DOCS)
+    out = [r["text"] for r in paragraphs.remove_repeats(docs).collect()]
+    assert set(others) <= set(out) and len(out) == 7
+    assert sum(same in t for t in out) == 1
