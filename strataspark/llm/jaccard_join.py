@@ -1,10 +1,10 @@
 """N-gram Jaccard join: MinHash LSH forest and exact verification.
 
 Texts are sets of five-word shingles. Equal texts (by their lower-cased words)
-are one node, so copies never meet each other. Every node stands in TREES prefix
-trees under a label of DEPTH MinHash values. Matching starts at whole labels and
-shortens the matched prefix level by level until nodes of similarity 0.8 meet in
-some tree with the target recall; nodes of an equal prefix are candidates.
+are one node, so copies never meet each other. Every node has TREES labels of DEPTH
+MinHash values. This is banding of fixed depth, not a forest of prefix trees: the
+depth at which labels are matched comes from a formula (similarity 0.8 and the
+target recall), not from the data; nodes of an equal prefix are candidates.
 Candidates are linked to the least node of their prefix, which gives groups; a
 group's pairs are verified by exact Jaccard of the whole shingle sets, large
 groups in pairs of blocks of BLOCK_NODES. What leaves a block are counts and a
