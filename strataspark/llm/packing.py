@@ -43,16 +43,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=1)
-def _exact(path: str):
+@lru_cache(maxsize=2)
+def _exact(path: str, plain: bool = False):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
+    exact.encode_special_tokens = plain
     return exact
 
 
+@lru_cache(maxsize=1)
+def _specials(path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer takes for a special token wherever they stand."""
+    return tuple(t.content for t in _exact(path).get_added_tokens_decoder().values())
+
+
 @lru_cache(maxsize=1)
 def _fast(path: str):
     """A faster, equal encoder, where the tokenizer's ranks stand beside it."""
@@ -67,13 +73,15 @@ def _fast(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def encode(text: str | None, path: str) -> np.ndarray:
-    """Token ids of a whole text; the ranks' encoder serves texts of Latin letters."""
+def encode(text: str | None, path: str, plain: bool = False) -> np.ndarray:
+    """Token ids of a whole text, as the tokenizer has them by default: a special token's
+    string is that token, or ordinary text where ``plain``. The ranks' encoder serves
+    texts of Latin letters without such strings."""
     fast = _fast(path)
     text = text or ""
-    if fast is not None and not _FAR.search(text):
+    if fast is not None and not _FAR.search(text) and (plain or not any(s in text for s in _specials(path))):
         return np.array(fast.encode_ordinary(text), dtype="<u4")
-    return np.array(_exact(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+    return np.array(_exact(path, plain).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 @lru_cache(maxsize=1)
@@ -86,7 +94,8 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word behind a space, one after another, and how many each has.
 
     Tokens never reach over the space before a word, so all words are encoded as
-    one text and parted at the tokens that begin with a space.
+    one text and parted at the tokens that begin with a space. Strings of special
+    tokens are ordinary text.
     """
     if not words:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
@@ -96,7 +105,7 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(_begins_with_space(path)[ids])
         if len(starts) == len(words):
             return ids, np.diff(starts, append=len(ids))
-    each = [encode(" " + w, path).astype(np.int64) for w in words]
+    each = [encode(" " + w, path, plain=True).astype(np.int64) for w in words]
     return np.concatenate(each), np.array([len(e) for e in each], dtype=np.int64)
 
 

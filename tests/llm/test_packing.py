@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataspark.llm import packing
 
-TEXTS = ["", None, "Hello world", " two  spaces\n\nand lines ", "<|endoftext|> is text", "é ß ñ Ünïcode", "日本語 テキスト 🙂", "x" * 5000, "word " * 3000, "don't we'll", "  　x"]
+TEXTS = ["", None, "Hello world", " two  spaces\n\nand lines ", "a <|endoftext|> b", "<|endoftext|><|endoftext|>日", "<|endoftext", "é ß ñ Ünïcode", "日本語 テキスト 🙂", "x" * 5000, "word " * 3000, "don't we'll", "  　x"]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,6 @@ def exact():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -30,6 +29,14 @@ def test_ids_are_the_tokenizer_s(exact):
         assert packing.encode(t, packing.default_tokenizer()).tolist() == exact(t or "")
 
 
+def test_special_strings_are_tokens_by_default_and_text_if_plain():
+    path = packing.default_tokenizer()
+    assert packing.encode("a <|endoftext|> b", path).tolist() == [64, 220, 50256, 275]
+    assert packing.encode("a <|endoftext|> b", path, plain=True).tolist() == [64, 1279, 91, 437, 1659, 5239, 91, 29, 275]
+    ids, lengths = packing.encode_words(["a", "<|endoftext|>", "日"], path)
+    assert 50256 not in ids.tolist() and len(lengths) == 3
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.characters(max_codepoint=0x24F, exclude_categories=["Cs"]), max_size=40))
 def test_fast_ids_are_the_tokenizer_s(exact, text):
