@@ -6,14 +6,19 @@ punctuation are summed and divided by the number of blocks: the two path ratios.
 The ratios are fused by product, smoothed over the path tree (a path also gets a
 share of what stands under each of its ancestors, less for farther ones), and
 compared with a threshold from the page's own ratios; blocks of paths above it
-are the content. Tags and class names that by their meaning aren't content
-(navigation, header, footer, aside, form, script, advert, notice, comment ...)
-and paths that are mostly links get ratio 0. Within ``article`` and ``main`` ratios weigh more and are smoothed
+are the content. Tags that by their meaning aren't content (navigation, header,
+footer, aside, script ...) and paths that are mostly links get ratio 0. Class names are
+evidence, not proof: an element that by a word of its class or id is an advert, notice
+or comment counts for nothing, one of a page's layout (header, sidebar, search ...), or a form,
+loses most of its ratio, and either is disregarded where the element turns
+out to be a wrapper: one that holds most of the page's text, with an article, main or h1
+element in it (for layout: or several blocks). Within ``article`` and ``main`` ratios weigh more and are smoothed
 farther, as such an element's short blocks (headings, list items) belong to it.
 
 Defined results: a null or empty page, or one without content, gives the empty
 string and n_chars 0; unclosed and misnested tags are closed as their block
-tags imply; a page that ends within a tag or script loses that tag alone.
+tags imply; a page that ends within a tag or script loses that tag alone; an embedded
+element (svg, object ...) without an end tag is an empty one.
 Repeated rows give equal results. Other columns are ignored.
 """
 
@@ -30,20 +35,30 @@ from pyspark.sql import functions as F
 from strataspark.llm.common import text_batches
 
 # HTML element names by their role.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "audio", "video", "canvas", "select", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+EMBEDDED = {"noscript", "template", "svg", "math", "object", "audio", "video", "canvas", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "fieldset", "dialog", "menu", "head", "menuitem"}
-BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
+BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "button", "dialog", "menu", "head", "menuitem"}
+FORM_TAGS = {"form", "fieldset"}
+BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
 CONTENT_TAGS = {"article", "main"}
-#: Words of a class or id that mark an element as no part of the main text.
-BOILERPLATE_WORDS = {
+#: Words of a class or id of what is no part of the main text, wherever it stands.
+FOREIGN_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "foot", "sidebar", "aside",
-    "comment", "comments", "disqus", "reply", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "banner", "alert",
+    "comment", "comments", "disqus", "replies", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert",
     "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related",
-    "recommended", "widget", "widgets", "pagination", "pager", "copyright", "legal", "disclaimer", "toolbar", "search", "form",
+    "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager",
 }
+#: Words of a page's layout, which wrappers of the main text also bear.
+LAYOUT_WORDS = {
+    "nav", "navbar", "navigation", "menu", "header", "masthead", "footer", "foot", "sidebar", "aside", "banner", "widget", "widgets",
+    "toolbar", "search", "form", "reply", "respond", "copyright", "legal", "disclaimer",
+}
+#: With one of these, a name says something about its element's surroundings ("has-sidebar").
+MODIFIERS = {"has", "no", "not", "with", "without", "enabled", "disabled", "offset", "layout"}
+#: Elements of running text; within an article or main element their names don't count.
+TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "td", "th", "tr", "figcaption"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dd", "dt"}
 #: An opening tag of the key ends open elements of the values, up to the barrier.
 ENDS = {
@@ -69,34 +84,89 @@ CONTENT_WEIGHT = 10.0
 #: Content: paths whose smoothed ratio is at least this share of the mean of the
 #: page's ratios, weighted by text length.
 THRESHOLD = 0.2
+#: Factor of the ratios under an element of the page's layout or a form.
+LAYOUT_WEIGHT = 0.1
+#: A wrapper holds more than this share of the page's text, and so many blocks
+#: where no article, main or h1 stands in it.
+WRAPPED, WRAPPED_BLOCKS = 0.5, 3
+
+#: What a name or tag says of an element.
+PLAIN, LAYOUT, FOREIGN = 0, 1, 2
+
+
+class Mark:
+    """An element that its names mark: the worst of them, and what stands in it."""
+
+    __slots__ = ("kind", "chars", "blocks", "titled")
+
+    def __init__(self, kind: int) -> None:
+        self.kind, self.chars, self.blocks, self.titled = kind, 0, 0, False
+
+    def counts(self, chars: int) -> int:
+        """``kind``, or PLAIN for a wrapper in a page of so many characters."""
+        enough = self.titled or (self.kind == LAYOUT and self.blocks >= WRAPPED_BLOCKS)
+        return PLAIN if enough and self.chars > WRAPPED * chars else self.kind
 
 
 class Element:
-    __slots__ = ("tag", "path", "boilerplate")
+    __slots__ = ("tag", "path", "boilerplate", "marks", "content")
+
+    def __init__(self, tag: str, path: tuple[str, ...], boilerplate: bool, marks: tuple[Mark, ...], content: bool) -> None:
+        self.tag, self.path, self.boilerplate, self.marks, self.content = tag, path, boilerplate, marks, content
 
-    def __init__(self, tag: str, path: tuple[str, ...], boilerplate: bool) -> None:
-        self.tag, self.path, self.boilerplate = tag, path, boilerplate
+
+def named_kind(names: str) -> int:
+    """The worst kind that a class or id attribute's names say."""
+    kind = PLAIN
+    for name in names.split():
+        words = set(WORD.findall(name))
+        if not words & MODIFIERS:
+            kind = max(kind, FOREIGN if words & FOREIGN_WORDS else LAYOUT if words & LAYOUT_WORDS else PLAIN)
+    return kind
 
 
 def _opened(tag: str, attributes: str, parent: Element | None) -> Element:
     name, boilerplate = tag, tag in BOILERPLATE_TAGS
+    kind = LAYOUT if tag in FORM_TAGS else PLAIN
+    inside = bool(parent and parent.content)
     if "=" in attributes or "hidden" in attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(attributes)}
         named = f"{found.get('class', '')} {found.get('id', '')}".lower()
         words = set(WORD.findall(named))
-        if tag not in ("body", "html", "article", "main"):
-            boilerplate |= bool(words & BOILERPLATE_WORDS)
+        if tag not in ("body", "html", "article", "main") and not (inside and tag in TEXT_TAGS):
+            kind = max(kind, named_kind(named))
         boilerplate |= found.get("role", "").lower() in BOILERPLATE_ROLES
         boilerplate |= found.get("aria-hidden", "").lower() == "true" or found.get("hidden") == ""
         boilerplate |= "display:none" in found.get("style", "").replace(" ", "").lower()
         if words:
             name = f"{tag}.{' '.join(sorted(words))}"
-    above = parent.path if parent else ()
-    return Element(tag, (*above, name), boilerplate or bool(parent and parent.boilerplate))
+    above, marks = (parent.path, parent.marks) if parent else ((), ())
+    if tag in CONTENT_TAGS or tag == "h1":
+        for m in marks:
+            m.titled = True
+    if kind:
+        marks = (*marks, Mark(kind))
+    return Element(tag, (*above, name), boilerplate or bool(parent and parent.boilerplate), marks, inside or tag in CONTENT_TAGS)
+
 
+#: (path, boilerplate, marked elements around it, share of the text that is link text, text)
+Block = tuple[tuple[str, ...], bool, tuple[Mark, ...], float, str]
 
-#: (path, boilerplate, share of the text that is link text, text)
-Block = tuple[tuple[str, ...], bool, float, str]
+
+def _foreign(tag: str, attributes: str) -> bool:
+    """Whether an inline element isn't content."""
+    own = _opened(tag, attributes, None)
+    return own.boilerplate or any(m.kind == FOREIGN for m in own.marks)
+
+
+def _end_of(tag: str, page: str, at: int) -> int | None:
+    """Where the element whose start tag ends at ``at`` ends, elements of its name in it counted."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*?(/?)>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[2]
+        if not depth:
+            return m.end()
+    return None
 
 
 def blocks(page: str) -> list[Block]:
@@ -105,7 +175,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     pending: list[str] = []
     in_link, linked = False, 0
-    root = Element("", (), False)
+    root = Element("", (), False, (), False)
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal in_link, linked
@@ -114,7 +185,11 @@ def blocks(page: str) -> list[Block]:
             pending.clear()
             if text:
                 at = stack[-1] if stack else root
-                out.append((at.path, at.boilerplate, min(1.0, linked / len(text)), text))
+                out.append((at.path, at.boilerplate, at.marks, min(1.0, linked / len(text)), text))
+                if not at.boilerplate:
+                    for m in at.marks:
+                        m.chars += len(text)
+                        m.blocks += 1
         in_link, linked = False, 0
 
     def close(k: int) -> None:
@@ -165,6 +240,13 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        if tag in EMBEDDED:
+            if not attributes.endswith("/") and tag not in unclosed:
+                end = _end_of(tag, page, at)
+                if end is None:
+                    unclosed.add(tag)
+                at = end or at
+            continue
         if tag in VOID:
             if tag == "br":
                 pending.append(" ")
@@ -176,7 +258,7 @@ def blocks(page: str) -> list[Block]:
             if bad_inline:
                 if bad_inline[-1] == tag:
                     bad_inline.append(tag)
-            elif "=" in attributes and not attributes.endswith("/") and tag != "label" and _opened(tag, attributes, None).boilerplate:
+            elif "=" in attributes and not attributes.endswith("/") and tag != "label" and _foreign(tag, attributes):
                 bad_inline.append(tag)
             continue
         bad_inline.clear()
@@ -204,50 +286,67 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def path_ratios(found: list[Block]) -> tuple[dict[tuple[str, ...], float], float]:
-    """Smoothed ratio of each path that isn't boilerplate, and the page's threshold."""
-    length: dict[tuple[str, ...], int] = defaultdict(int)
-    marks: dict[tuple[str, ...], int] = defaultdict(int)
-    nodes: dict[tuple[str, ...], int] = defaultdict(int)
-    links: dict[tuple[str, ...], float] = defaultdict(float)
-    for path, boilerplate, linked, text in found:
-        if not boilerplate:
-            length[path] += len(text)
-            links[path] += linked * len(text)
-            marks[path] += len(PUNCTUATION.findall(text))
-            nodes[path] += 1
-    inside = {p: next((k for k, x in enumerate(p) if x.split(".")[0] in CONTENT_TAGS), len(p)) for p in length}
+#: A path, and the worst kind of the marked elements around it that count.
+Place = tuple[tuple[str, ...], int]
+
+
+def placed(found: list[Block]) -> list[Place]:
+    """The place of each block; FOREIGN for boilerplate."""
+    chars = sum(len(text) for _, boilerplate, _, _, text in found if not boilerplate)
+    kinds = [FOREIGN if b else max((m.counts(chars) for m in marks), default=PLAIN) for _, b, marks, _, _ in found]
+    return [(block[0], kind) for block, kind in zip(found, kinds, strict=True)]
+
+
+def path_ratios(found: list[Block], places: list[Place]) -> tuple[dict[Place, float], float]:
+    """Smoothed ratio of each place that isn't FOREIGN, and the page's threshold."""
+    length: dict[Place, int] = defaultdict(int)
+    marks: dict[Place, int] = defaultdict(int)
+    nodes: dict[Place, int] = defaultdict(int)
+    links: dict[Place, float] = defaultdict(float)
+    for place, (_, _, _, linked, text) in zip(places, found, strict=True):
+        if place[1] != FOREIGN:
+            length[place] += len(text)
+            links[place] += linked * len(text)
+            marks[place] += len(PUNCTUATION.findall(text))
+            nodes[place] += 1
+    inside = {p: next((k for k, x in enumerate(p[0]) if x.split(".")[0] in CONTENT_TAGS), len(p[0])) for p in length}
     fused = {
-        p: length[p] / nodes[p] * (1 + marks[p] / nodes[p]) * (CONTENT_WEIGHT if inside[p] < len(p) else 1.0)
+        p: length[p] / nodes[p] * (1 + marks[p] / nodes[p]) * (CONTENT_WEIGHT if inside[p] < len(p[0]) else 1.0)
         for p in length
     }
+    plain = [p for p in fused if p[1] == PLAIN]
     # what stands under each node of the path tree, weighted by text length
     under: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for p, r in fused.items():
-        for depth in range(len(p)):
-            cell = under[p[:depth]]
-            cell[0] += r * length[p]
+    for p in plain:
+        for depth in range(len(p[0])):
+            cell = under[p[0][:depth]]
+            cell[0] += fused[p] * length[p]
             cell[1] += length[p]
     smoothed = {}
     for p, r in fused.items():
+        path = p[0]
+        if p[1] == LAYOUT:
+            smoothed[p] = r * LAYOUT_WEIGHT if plain else 0.0
+            continue
         best, weight = r, 1.0
-        if inside[p] == len(p) and links[p] > MOST_LINKS * length[p]:
+        if inside[p] == len(path) and links[p] > MOST_LINKS * length[p]:
             smoothed[p] = 0.0
             continue
-        for up in range(1, len(p) + 1):
-            weight *= SMOOTHING_IN_CONTENT if inside[p] < len(p) - up else SMOOTHING if len(p) - up > 2 else SMOOTHING_AT_TOP
-            total, chars = under[p[: len(p) - up]]
+        for up in range(1, len(path) + 1):
+            weight *= SMOOTHING_IN_CONTENT if inside[p] < len(path) - up else SMOOTHING if len(path) - up > 2 else SMOOTHING_AT_TOP
+            total, chars = under[path[: len(path) - up]]
             best = max(best, weight * total / chars)
         smoothed[p] = best
-    mean = sum(fused[p] * length[p] for p in fused) / max(1, sum(length.values()))
+    mean = sum(fused[p] * length[p] for p in plain) / max(1, sum(length[p] for p in plain))
     return smoothed, THRESHOLD * mean
 
 
 def main_text(page: str | None) -> str:
     """The page's content blocks, joined by a newline."""
     found = blocks(page or "")
-    ratios, least = path_ratios(found)
-    return "\n".join(t for p, boilerplate, _, t in found if not boilerplate and ratios[p] >= least)
+    places = placed(found)
+    ratios, least = path_ratios(found, places)
+    return "\n".join(block[4] for p, block in zip(places, found, strict=True) if ratios.get(p, 0.0) >= max(least, 1e-9))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

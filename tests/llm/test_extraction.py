@@ -58,3 +58,32 @@ def test_rows(spark):
     out = extract(pages).collect()
     assert [(r["page_id"], r["n_chars"]) for r in out] == [(1, 3), (1, 3), (None, 0), (3, 20_000 * (len(P) + 1) - 1)]
     assert extract(pages.limit(0)).count() == 0
+
+
+ARTICLE = f"<h1>Title</h1><p>{P}</p><p class=legal>{P}</p><ul><li>one item</li></ul><p>{P}</p>"
+WANTED = f"Title\n{P}\n{P}\none item\n{P}"
+WRAPPERS = [
+    "div class='content has-sidebar'", "div class='container no-sidebar'", "div class='main-content share-enabled'", "div class=page-header-offset",
+    "div class=content-with-sidebar", "div id=page-header-wrap", "form id=aspnetForm method=post", "div class='search-layout'", "div class='sidebar-form'",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_names_of_wrappers_lose_nothing(wrapper):
+    tag = wrapper.split()[0]
+    assert main_text(f"<body><nav>menu</nav><{wrapper}><article>{ARTICLE}</article></{tag}><footer>f</footer></body>") == WANTED
+    assert main_text(f"<body><nav>menu</nav><{wrapper}><article>{ARTICLE}</article><div class=sidebar><p>{P}</p></div></{tag}></body>") == WANTED
+
+
+def test_long_comments_and_lone_boilerplate_stay_out():
+    page = f"<body><article><h1>Title</h1><p>{P}</p></article><section id=comments>" + f"<p>{P}</p>" * 40 + "</section></body>"
+    assert main_text(page) == f"Title\n{P}"
+    assert main_text(page.replace("article>", "div>")) == f"Title\n{P}"
+    for alone in (f"<div class=ad>{P}</div>", f"<div class=footer>{P}</div>", f"<form><p>{P}</p></form>", f"<div class=cookie-notice><p>{P}</p></div>"):
+        assert main_text(f"<body><nav>x</nav>{alone}</body>") == ""
+
+
+def test_embedded_elements_without_end_lose_no_text():
+    for odd in ("<svg/>", "<math />", "<object data=x>", "<svg><g/></svg>", "<svg><svg><text>no</text></svg><text>no</text></svg>", "<video src=x>"):
+        assert main_text(f"<article><p>{P}</p>{odd}<p>{P}</p></article>") == f"{P}\n{P}"
+    assert main_text("<svg>" * 20_000 + f"<p>{P}</p>") == P
