@@ -87,9 +87,9 @@ def signature(hashes: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets with exact Jaccard of at least SIMILAR; within ``left``
-    (i < j) if ``right`` is None. Shared counts are products of 0/1 matrices over
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of sets with exact Jaccard of at least SIMILAR, and their Jaccard; within
+    ``left`` (i < j) if ``right`` is None. Shared counts are products of 0/1 matrices over
     the elements that at least two sets have, some thousand elements at a time."""
     sets = left if right is None else left + right
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -97,7 +97,7 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None)
     none = np.empty(0, dtype=np.int64)
     within = right is None
     if not sizes.sum() or not n or not (within or m):
-        return none, none
+        return none, none, np.empty(0)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(flat, kind="stable")
@@ -107,7 +107,7 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None)
     often = np.bincount(element)[element] > 1
     element, owner = element[often], owner[often]
     if not len(element):
-        return none, none
+        return none, none, np.empty(0)
     element = np.cumsum(np.concatenate([[True], element[1:] != element[:-1]])) - 1
     shared = np.zeros((n, n if within else m), dtype=np.float32)
     width = max(256, min(8192, (1 << 23) // max(1, len(sets))))
@@ -122,11 +122,12 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None)
     alike = (down * shared >= up * union) & (shared > 0)
     if within:
         alike = np.triu(alike, 1)
-    return np.nonzero(alike)
+    i, j = np.nonzero(alike)
+    return i, j, shared[i, j] / union[i, j]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs: at most n - 1 of them join what they join."""
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Which pairs make a spanning forest: at most n - 1 of them join what all join."""
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -136,9 +137,9 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            out.append((a, b))
+            out.append(k)
     return out

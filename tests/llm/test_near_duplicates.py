@@ -102,15 +102,58 @@ def test_repeated_ids_nulls_and_empty_tables(spark):
     got = Counter((r["doc_id"], r["class_id"], r["n_copies"]) for r in jaccard_join.join(docs).collect())
     assert got == {(1, 1, 4): 3, (1, 1, 1): 1, (None, 1, 4): 1, (None, None, 1): 1}
     assert jaccard_join.join(docs.limit(0)).count() == 0 and jaccard_join.keep_one(docs.limit(0)).count() == 0
-    kept = sorted(str(r["text"]) for r in jaccard_join.keep_one(docs).collect())
-    assert kept == ["None", "a b c d e f g"]
+    kept = sorted(str((r["doc_id"], r["text"])) for r in jaccard_join.keep_one(docs).collect())
+    assert kept == ["(1, 'a b c d e f g')", "(1, 'other words altogether here')", "(None, None)"]
 
 
-def test_text_key_is_the_same_in_both_engines(spark):
-    texts = ["A  b\tC\x0b", "", None, "É \x1f x\r\n", " a b"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r[0]: r[1] for r in rows.select("i", jaccard_join.text_key(F.col("text"))).collect()}
-    assert got == {i: minhash.key_of(minhash.normal(t)).hex() for i, t in enumerate(texts)}
+def test_rows_without_an_id_are_texts_of_their_own(spark):
+    rng = random.Random(8)
+    texts = [" ".join(word(rng) for _ in range(50)) for _ in range(30)]
+    near = [t + " end" for t in texts[:5]]
+    rows = [(None, t, None, None, None) for t in texts + near + texts[:3]]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = [r["text"] for r in jaccard_join.keep_one(docs).collect()]
+    assert len(kept) == 30 and {t.removesuffix(" end") for t in kept} == set(texts)
+    links = Counter(r["n_links"] for r in jaccard_join.join(docs).collect())
+    assert links == {1: 13, 0: 25}
+
+
+def test_prefixes_are_shortened_by_the_links_found():
+    depth, least = jaccard_join.DEPTH, jaccard_join.LEAST_DEPTH
+    assert jaccard_join.shortened({}, depth) == jaccard_join.shortened({0.99: 50}, depth) == least
+    assert jaccard_join.shortened({0.99: 5000}, depth) == depth
+    assert jaccard_join.shortened({0.8: 5000}, depth) == least
+    assert least < jaccard_join.shortened({0.8: 1500, 0.95: 5000}, depth) < depth
+    for d in range(least, depth + 1):
+        mix = {0.8: 300, 0.85: 500, 0.95: 2000}
+        wanted = jaccard_join.shortened({s: n * jaccard_join.meeting(s, d) for s, n in mix.items()}, d)
+        reached = sum(n * jaccard_join.meeting(s, wanted) for s, n in mix.items()) / sum(mix.values())
+        assert wanted == least or reached >= jaccard_join.TARGET_RECALL
+
+
+def test_labels_meet_as_their_depth_says():
+    rng = np.random.default_rng(3)
+    met = np.zeros(jaccard_join.DEPTH + 1)
+    for _ in range(150):
+        h = rng.integers(0, 1 << 63, 450, dtype=np.uint64)
+        a, b = jaccard_join.labels(h[:400]), jaccard_join.labels(h[50:])  # similarity 7/9
+        for d in range(1, jaccard_join.DEPTH + 1):
+            cut = jaccard_join.LEVEL_BITS * (jaccard_join.DEPTH - d)
+            met[d] += (a >> cut == b >> cut).mean() / 150
+    assert all(abs(met[d] - (7 / 9) ** d) < 0.04 for d in range(1, jaccard_join.DEPTH + 1))
+    assert list(a) == sorted(a) and not len(jaccard_join.labels(h[:0]))
+
+
+def test_forest_shortens_prefixes_on_data(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ENOUGH_LINKS", 10)
+    rows = corpus(11)
+    depths = []
+    whole = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda r, n, d: depths.append(d) or whole(r, n, d))
+    got = {r["doc_id"]: r["class_id"] for r in jaccard_join.join(spark.createDataFrame(rows, DOCS)).collect()}
+    want = brute_classes(rows)
+    assert depths[0] == jaccard_join.DEPTH and depths == sorted(set(depths), reverse=True)
+    assert sum(got[i] == want[i][0] for i in want) >= 0.99 * len(want)
 
 
 @settings(max_examples=60, deadline=None)
@@ -125,19 +168,20 @@ def test_similar_pairs_and_signatures():
     sets = [np.setdiff1d(np.arange(40), rng.integers(0, 40, 6)).astype(np.uint64) for _ in range(30)] + [np.empty(0, dtype=np.uint64)] * 2
     plain = [set(s.tolist()) for s in sets]
     want = {(i, j) for i in range(32) for j in range(i + 1, 32) if similar(plain[i], plain[j])}
-    assert set(zip(*map(np.ndarray.tolist, minhash.similar_pairs(sets)), strict=True)) == want and want
+    i, j, s = minhash.similar_pairs(sets)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and want
+    assert all(abs(x - len(plain[a] & plain[b]) / len(plain[a] | plain[b])) < 1e-6 for a, b, x in zip(i, j, s, strict=True))
     cross = {(i, j) for i in range(10) for j in range(22) if similar(plain[i], plain[10 + j])}
-    assert set(zip(*map(np.ndarray.tolist, minhash.similar_pairs(sets[:10], sets[10:])), strict=True)) == cross
+    assert set(zip(*map(np.ndarray.tolist, minhash.similar_pairs(sets[:10], sets[10:])[:2]), strict=True)) == cross
     assert 0 < len(want) < 435 and not len(minhash.similar_pairs(sets[:3], [])[0]) and not len(minhash.similar_pairs([], sets[:3])[0])
     a = minhash._mixed(np.arange(1000, dtype=np.uint64))
     agree = (minhash.signature(a[:900], 2000) == minhash.signature(a[100:], 2000)).mean()
     assert abs(agree - 0.8) < 0.04
-    assert minhash.forest(4, np.array([0, 0, 1]), np.array([1, 2, 2])) == [(0, 1), (0, 2)]
+    assert minhash.forest(4, np.array([0, 0, 1]), np.array([1, 2, 2])) == [0, 1]
 
 
 def test_recall_at_the_threshold_is_reached():
-    depth = jaccard_join.matched_depth()
-    assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= 0.995 > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
+    assert jaccard_join.meeting(0.8, jaccard_join.LEAST_DEPTH) >= jaccard_join.TARGET_RECALL
     bands, rows = paragraphs.tuned_bands()
     assert bands * rows <= paragraphs.VALUES and 1 - (1 - 0.8**rows) ** bands >= 0.995
 
