@@ -5,7 +5,8 @@ and size) into one stream of words and cut into blocks of BLOCK_WORDS. A slot i
 of the mix takes the source in whose share of the cumulative weights the
 golden-ratio point frac((i + 1) * phi) falls; the k-th slot of a source takes its
 k-th block, starting anew at its stream's end. A source stops at its target
-(its last block may be cut); what the points still owe it follows at the end.
+(its last block may be cut); what the points still owe it follows at the end. A
+document's place in the mix is the slot of its first block, one for each time that it is taken.
 
 Defined results: a null text has size 0; documents and sources of size 0 take
 part with target and taken 0; null is a source of its own, last in order; rows
@@ -130,7 +131,8 @@ def schedule(sources: DataFrame, n_sources: int) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, source, size, source_size, target and taken of each row of ``docs``."""
+    """uid, doc_id, source, size, source_size, target, taken and slots of each row of ``docs``;
+    slots: its places in the mix, empty if it isn't taken."""
     return _mix(sized(docs))
 
 
@@ -167,37 +169,43 @@ def _mix(sizes: DataFrame) -> DataFrame:
     slots = slots.groupBy(F.col("src").alias("__s"), F.col("block").alias("__b")).agg(
         F.count_if(F.col("pass") < F.col("__passes")).alias("whole"),
         F.count_if(F.col("pass") == F.col("__passes")).alias("cut"),
+        # one for each pass, MOST_REPEATS + 1 at most
+        F.array_sort(F.collect_list("slot")).alias("slots"),
     )
     cut = F.greatest(F.least("last", "rest") - F.col("first"), F.lit(0))
-    words = F.col("whole") * (F.col("last") - F.col("first")) + F.col("cut") * cut
+    words = F.coalesce(F.col("whole") * (F.col("last") - F.col("first")) + F.col("cut") * cut, F.lit(0))
+    # without a word of the cut pass its slot isn't the document's
+    own = F.slice("slots", F.lit(1), (F.col("whole") + F.when(cut > 0, F.col("cut")).otherwise(0)).cast("int"))
     taken = (
         pieces.join(slots, (F.col("src") == F.col("__s")) & (F.col("block") == F.col("__b")), "left")
         .groupBy("uid", "doc_id", "src", "size")
-        .agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"))
+        .agg(F.sum(words).cast("long").alias("taken"), F.min_by(F.when(words > 0, own), F.when(words > 0, F.col("block"))).alias("slots"))
+        .withColumn("slots", F.coalesce("slots", F.array().cast("array<long>")))
     )
     named = sources.select(F.col("src").alias("__src"), "source", "source_size", "target")
     return taken.join(_small(named, n_sources), F.col("src") == F.col("__src")).select(
-        "uid", "doc_id", "source", "size", "source_size", "target", "taken"
+        "uid", "doc_id", "source", "size", "source_size", "target", "taken", "slots"
     )
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: each row as often as the mix takes it, with the columns of ``docs``.
+    """The mix as documents: each row as often as the mix takes it, with the columns of ``docs``,
+    in the order of the mix's slots.
 
     A row's copies are its taken words over its size, rounded to whole texts
     (half up), so only the one document at the cut of each source is off, by
     less than its size. Rows that the mix doesn't take go.
     """
-    columns = docs.columns
-    whole = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()), "mix-docs")
+    whole = materialize(
+        docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "mix-docs"
+    )
     sizes = whole.select(
-        F.col("__uid").alias("uid"), "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        "uid", "row.doc_id", "row.source",
+        F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     sizes = materialize(sizes, "mix-sizes")
-    copies = _mix(sizes).where("taken > 0").select(
-        F.col("uid").alias("__uid"),
-        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies"),
-    )
-    taken = whole.join(broadcast_if_small(copies.where("__copies > 0"), sizes.count()), "__uid")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    places = _mix(sizes).where("taken > 0").select(F.col("uid").alias("of"), F.explode(F.slice("slots", F.lit(1), copies)).alias("slot"))
+    taken = whole.join(broadcast_if_small(places, MOST_REPEATS * sizes.count()), F.col("uid") == F.col("of"))
+    ordered = taken.repartitionByRange("slot", "uid").sortWithinPartitions("slot", "uid")
+    return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

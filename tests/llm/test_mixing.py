@@ -98,3 +98,35 @@ def test_documents_stand_as_often_as_taken(spark):
     for r in mixing.mix_documents(docs).collect():
         got[r["doc_id"]] += 1
     assert all(got[i] == int(t + 0.5) for i, t in taken.items())
+
+
+def test_places_of_documents_are_their_blocks_slots(spark):
+    """Against a walk over the schedule's slots, block by block."""
+    docs = corpus(spark, SPECS[0])
+    rows = mixing.mix(docs).collect()
+    sources = mixing.materialize(mixing.targets(mixing.sized(docs)), "t")
+    of = {r["source"]: r for r in sources.collect()}
+    slots = defaultdict(list)
+    for r in mixing.schedule(sources, len(of)).orderBy("slot").collect():
+        slots[r["src"], r["block"]].append((r["pass"], r["slot"]))
+    assert all(len(r["slots"]) >= int(r["taken"] / r["size"] + 0.5) for r in rows if r["size"])
+    assert all(list(r["slots"]) == sorted(r["slots"]) and bool(r["slots"]) == (r["taken"] > 0) for r in rows)
+    of_block = {slot: (src, block, turn) for (src, block), own in slots.items() for turn, slot in own}
+    for source, r in of.items():  # a source's words by slot are those of the schedule
+        own = [x for x in rows if x["source"] == source and x["taken"]]
+        held = {of_block[s][1] for x in own for s in x["slots"]}
+        assert all(of_block[s][0] == r["src"] for x in own for s in x["slots"])
+        assert held <= {b for s, b in slots if s == r["src"]}
+        turns = [[of_block[s][2] for s in x["slots"]] for x in own]
+        assert all(t == list(range(len(t))) for t in turns)
+
+
+def test_mixed_documents_stand_in_the_schedule_s_order(spark):
+    docs = corpus(spark, SPECS[0])
+    first = {r["doc_id"]: list(r["slots"]) for r in mixing.mix(docs).collect()}
+    seen, last = defaultdict(int), -1
+    for r in mixing.mix_documents(docs).collect():  # partitions in order
+        slot = first[r["doc_id"]][seen[r["doc_id"]]]
+        seen[r["doc_id"]] += 1
+        assert slot >= last
+        last = slot
