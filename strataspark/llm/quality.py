@@ -15,6 +15,7 @@ where nothing is known). Extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -84,7 +85,7 @@ def log_count_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -
 
 def dual_coordinate_descent(
     rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, cost: np.ndarray,
-    epochs: int = 12, tolerance: float = 1e-3,
+    epochs: int = 60, tolerance: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of min |w|^2/2 + sum cost * hinge, one dual variable at a time.
 
@@ -110,6 +111,8 @@ def dual_coordinate_descent(
                 most = max(most, abs(step))
         if most < tolerance:
             break
+    else:
+        logging.getLogger(__name__).warning("hinge fit: the last of %d epochs moved a dual variable by %.3g", epochs, most)
     return w, bias
 
 
@@ -238,8 +241,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .toPandas()
         .sort_values("doc_id")
     )
-    order = sample["doc_id"].map(lambda i: hash((int(i), 11)) & 0xFFFF).to_numpy().argsort(kind="stable")
-    sample = sample.iloc[order]
+    mixed = sample["doc_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sample = sample.iloc[np.argsort(mixed, kind="stable")]
     rows = [np.frombuffer(x, dtype=np.int32) for x in sample["ids"]]
     y = np.where(sample["y"].to_numpy() == 1, 1, -1)
     model = fit(rows, y, log_count_ratios(pos, neg, n_pos, n_neg), n_pos, n_neg)
