@@ -208,6 +208,7 @@ class Commands:
         from strataspark.functions.text import parse_id_literal
         from strataspark.operators import lookups, tree
         from strataspark.reports.build import record_lines
+        from strataspark.shared import Scratch
 
         form_id = parse_id_literal(self.args.form_id)
         if form_id is None:
@@ -218,8 +219,11 @@ class Commands:
         if record is None:
             raise UsageError(f"Record {self.args.form_id} not found in snapshot #{own}.")
         lines = record_lines(record, fields, records)
-        if self.args.expand and (made := tree.expand(records, fields, form_id)) is not None:
-            lines += ["", "  Leveled List Tree:", *tree.tree_lines(made)]
+        if self.args.expand and record["record_type"] in tree.LISTS:
+            root = self.spark.createDataFrame([(form_id,)], "root long")
+            with Scratch(self.spark) as scratch:
+                made = tree.lines(records, fields, root, scratch=scratch).orderBy("seq").collect()
+            lines += ["", "  Leveled List Tree:", *[r["line"] for r in made]]
         self.say("\n".join(lines))
 
     def unreleased(self) -> None:
@@ -256,6 +260,8 @@ class Commands:
             self.say(f"  0x{r['string_id']:08X}: {r['text'][:100] + '...' if len(r['text']) > 100 else r['text']}")
 
     def export(self) -> None:
+        from pyspark.sql import functions as F
+
         from strataspark.reports import build, export, render
 
         own, kind = self.snapshot_id(), self.args.type
@@ -265,7 +271,7 @@ class Commands:
         elif self.args.format == "json":
             text = export.json_text(records, fields, kind)
         else:
-            rows = records.where(f"record_type = '{kind}'") if kind else records
+            rows = records.where(F.col("record_type") == kind) if kind else records
             total, rows = rows.count(), rows.orderBy("record_type", "form_id")
             html = self.args.format == "html"
             found = build.items(rows.limit(build.EXPORT_CAP) if html else rows)

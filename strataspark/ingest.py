@@ -16,7 +16,8 @@ from strataspark.model import EAV
 from strataspark.operators.lookups import localized, upsert
 from strataspark.sources import binary
 from strataspark.sources.recfile import read_records
-from strataspark.store import SnapshotStore, scratch
+from strataspark.shared import Scratch
+from strataspark.store import SnapshotStore
 
 HASHED_BYTES = 1 << 20
 
@@ -130,13 +131,14 @@ def ingest(
     snapshot_id = store.new_id()
     label = label or datetime.now().strftime("snapshot-%Y%m%d-%H%M%S")
     digest, size = head_hash(path)
-    raw = scratch(read_records(spark, path))
-    texts = scratch(strings)
-    store.write("records", snapshot_id, upsert(localized(project(raw), texts), ["form_id"]))
-    fields = upsert(decoded(raw, texts, functions), ["form_id", "field_name"], "record")
-    store.write("fields", snapshot_id, fields)
-    store.write("strings", snapshot_id, texts.select("string_id", "text", F.lit("").alias("source")))
-    if full:
-        store.write("subrecords", snapshot_id, raw_subrecords(raw))
-    store.publish(snapshot_id, label, digest, size, raw.count(), texts.count(), full)
+    with Scratch(spark) as scratch:
+        raw = scratch(read_records(spark, path))
+        texts = scratch(strings)
+        store.write("records", snapshot_id, upsert(localized(project(raw), texts), ["form_id"]))
+        fields = upsert(decoded(raw, texts, functions), ["form_id", "field_name"], "record")
+        store.write("fields", snapshot_id, fields)
+        store.write("strings", snapshot_id, texts.select("string_id", "text", F.lit("").alias("source")))
+        if full:
+            store.write("subrecords", snapshot_id, raw_subrecords(raw))
+        store.publish(snapshot_id, label, digest, size, raw.count(), texts.count(), full)
     return snapshot_id

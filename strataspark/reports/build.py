@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strataspark.functions.text import hex_id, parse_hex
 from strataspark.operators import diff, lookups, refs, unreleased
 from strataspark.reports.render import Category, Diff, Item, Link
+from strataspark.shared import Scratch
 
 TEXT_CAP, MARKDOWN_CAP, HTML_CAP, EXPORT_CAP, DETAILED = 50, 100, 500, 5000, 10
 
@@ -22,15 +23,13 @@ def items(records: DataFrame) -> list[Item]:
     return [Item(*r) for r in rows.toLocalIterator(prefetchPartitions=True)]
 
 
-def _with_fields(found: list[Item], fields: DataFrame, records: DataFrame) -> None:
-    """Give the items their fields, with the names of what they refer to."""
+def _with_fields(found: list[Item], ids: DataFrame, fields: DataFrame, records: DataFrame) -> None:
+    """Give the items, whose form_id ``ids`` has, their fields, with the names of what they refer to."""
     if not found:
         return
-    spark = fields.sparkSession
-    ids = F.broadcast(spark.createDataFrame([(x.form_id,) for x in found], "form_id long"))
     shown = refs.resolve_fields(fields.join(ids, "form_id", "left_semi"), records).orderBy("form_id", "ordinal")
     by_id: dict[int, list[tuple[str, str]]] = {}
-    for r in shown.select("form_id", "field_name", "display").collect():
+    for r in shown.select("form_id", "field_name", "display").toLocalIterator(prefetchPartitions=True):
         by_id.setdefault(r["form_id"], []).append((r["field_name"], r["display"]))
     for x in found:
         x.fields = by_id.get(x.form_id, [])
@@ -58,29 +57,30 @@ def diff_report(
     old: tuple[int, str, DataFrame, DataFrame], new: tuple[int, str, DataFrame, DataFrame], record_type: str | None = None
 ) -> Diff:
     """The diff of two snapshots, each given as (id, label, records, fields)."""
-    from strataspark.store import scratch
-
-    changes = scratch(diff.diff_records(old[2], new[2], record_type))
-    ids = changes.select("form_id")
-    out = Diff(old[0], new[0], old[1], new[1])
-    for kind, side in (("added", new), ("removed", old), ("modified", new)):
-        found = items(changes.where(F.col("change_type") == kind).orderBy("form_id"))
-        setattr(out, kind, found)
-        if kind != "modified":
-            _with_fields(found, side[3], side[2])
-        _with_links(found, refs.xrefs(side[3], side[2], ids))
-    changed = diff.diff_fields(changes, old[3], new[3])
-    changed = _side("new_value", new[2], _side("old_value", old[2], changed)).orderBy("form_id", "field_name")
-    by_id = {x.form_id: x for x in out.modified}
-    for r in changed.toLocalIterator():
-        by_id[r["form_id"]].changes.append((r["field_name"], r["old_value"], r["new_value"]))
+    with Scratch(old[2].sparkSession) as scratch:
+        changes = scratch(diff.diff_records(old[2], new[2], record_type))
+        ids = changes.select("form_id")
+        out = Diff(old[0], new[0], old[1], new[1])
+        for kind, side in (("added", new), ("removed", old), ("modified", new)):
+            own = changes.where(F.col("change_type") == kind)
+            found = items(own.orderBy("form_id"))
+            setattr(out, kind, found)
+            if kind != "modified":
+                _with_fields(found, own.select("form_id"), side[3], side[2])
+            _with_links(found, refs.xrefs(side[3], side[2], ids))
+        changed = diff.diff_fields(changes, old[3], new[3])
+        changed = _side("new_value", new[2], _side("old_value", old[2], changed)).orderBy("form_id", "field_name")
+        by_id = {x.form_id: x for x in out.modified}
+        for r in changed.toLocalIterator():
+            by_id[r["form_id"]].changes.append((r["field_name"], r["old_value"], r["new_value"]))
     return out
 
 
 def search_report(found: DataFrame, records: DataFrame, fields: DataFrame) -> list[Item]:
     """Search results, the first DETAILED of them with their fields."""
     out = items(found)
-    _with_fields(out[:DETAILED], fields, records)
+    ids = fields.sparkSession.createDataFrame([(x.form_id,) for x in out[:DETAILED]], "form_id long")
+    _with_fields(out[:DETAILED], ids, fields, records)
     return out
 
 

@@ -7,7 +7,6 @@ One writer at a time hands out ids.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,24 +14,13 @@ from pyspark.sql import functions as F
 
 from strataspark import model
 from strataspark.operators import lookups
+from strataspark.shared import Scratch
 
 TABLES = {
     "records": model.RECORDS, "fields": model.FIELDS, "strings": model.STRINGS, "subrecords": model.SUBRECORDS,
 }
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterated table through the cluster's shared folder."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="strataspark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class SnapshotStore:
     """The snapshots below ``root``, any path that Spark reads and writes."""
 
@@ -160,10 +148,11 @@ class SnapshotStore:
     def save_diff(self, old_id: int, new_id: int, changes: DataFrame) -> int:
         """Store a diff's entries, then its row; the diff's id is that of its pair of snapshots."""
         diff_id = old_id * (1 << 32) + new_id
-        changes = scratch(changes)
-        counts = {r["change_type"]: r["n"] for r in changes.groupBy("change_type").agg(F.count("*").alias("n")).collect()}
-        entries = changes.select(F.lit(diff_id).cast("long").alias("diff_id"), *model.columns(model.DIFF_ENTRIES)[1:])
-        entries.write.mode("overwrite").parquet(f"{self.root}/diff_entries/pair={old_id}-{new_id}")
+        with Scratch(self.spark) as scratch:
+            changes = scratch(changes)
+            counts = {r["change_type"]: r["n"] for r in changes.groupBy("change_type").agg(F.count("*").alias("n")).collect()}
+            entries = changes.select(F.lit(diff_id).cast("long").alias("diff_id"), *model.columns(model.DIFF_ENTRIES)[1:])
+            entries.write.mode("overwrite").parquet(f"{self.root}/diff_entries/pair={old_id}-{new_id}")
         row = self.spark.createDataFrame(
             [(diff_id, old_id, new_id, counts.get("added", 0), counts.get("removed", 0), counts.get("modified", 0))],
             "id long, old_snapshot_id long, new_snapshot_id long, added_count long, removed_count long, modified_count long",

@@ -132,16 +132,17 @@ def test_search_refs_and_heuristics(world):
 
 def test_tree(world):
     store, one, *_ = world
-    made = tree.expand(store.records(one), store.fields(one), 0x40)
-    assert tree.tree_lines(made) == [
+    root = lambda i: store.spark.createDataFrame([(i,)], "root long")
+    made = tree.lines(store.records(one), store.fields(one), root(0x40)).orderBy("seq").collect()
+    assert [r["line"] for r in made] == [
         "ListA (0x00000040) [LVLI]", "  Chance None: 10%  Use All: True",
         "  - Iron sword x3 (lvl 2) [MISC] 0x00000010", "  - ListB (lvl 1) [LVLI] 0x00000041",
         "    - zzz_old (lvl 1) [MISC] 0x00000011", "    - 0x00007777 (lvl 1)  0x00007777",
         "  - ListA (lvl 1) [LVLI] 0x00000040", "  - ListB (lvl 1) [LVLI] 0x00000041",
     ]
-    assert tree.expand(store.records(one), store.fields(one), 0x10) is None
-    flat = tree.expand(store.records(one), store.fields(one), 0x40, max_depth=0)
-    assert not any(e.children for e in flat.entries)
+    assert tree.lines(store.records(one), store.fields(one), root(0x10)).count() == 0
+    flat = tree.expand(store.records(one), store.fields(one), root(0x40), max_depth=0).collect()
+    assert {r["depth"] for r in flat} == {1} and len(flat) == 4
 
 
 def test_source_pushes_types_down(spark, world):
