@@ -6,30 +6,20 @@ folder, set Arrow batch sizes and build two-level (bucketed) running sums.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of an Arrow batch that holds whole texts; very long texts then stay
-#: within a Python worker's memory.
-TEXT_BATCH_ROWS = 512
-
+from strataspark.shared import drop, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one; a session
-    without that setting (tests on ``local[*]``) gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="strataspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows and bytes of an Arrow batch that holds whole texts; very long texts then stay
+#: within a Python worker's memory.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 512, 32 << 20
 
 
 #: Rows of a file of a materialized table whose size is known beforehand.
@@ -55,23 +45,53 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 _written: list[str] = []
 
 
+def mark() -> int:
+    """Where the list of written tables ends now."""
+    return len(_written)
+
+
+def written(since: int) -> list[str]:
+    """The tables written since a ``mark``."""
+    return _written[since:]
+
+
+def _bare(path: str) -> str:
+    return re.sub("^file:/*", "/", path)
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str], *keep: DataFrame) -> None:
+    """Delete written tables, but for those that the frames to ``keep`` read."""
+    own = [p for p in paths if p in _written]
+    if own:
+        still = {_bare(unquote(f)).rpartition("/")[0] for df in keep for f in df.inputFiles()}
+        for path in own:
+            if _bare(path) not in still:
+                drop(spark, path)
+                _written.remove(path)
+
+
+def settle(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since a ``mark``, but for those that the frames to ``keep``
+    read: for when these have been written from them."""
+    drop_tables(spark, written(since), *keep)
+
+
 def drop_materialized(spark: SparkSession) -> int:
     """Delete the tables that this process has materialized; for when their results are
     written. Returns how many there were."""
-    for path in _written:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     n = len(_written)
-    _written.clear()
+    settle(spark, 0)
     return n
 
 
 def text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small (never raises a lower setting)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(rows))
     if now <= 0 or now > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+        spark.conf.set(rows, str(TEXT_BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > TEXT_BATCH_BYTES:
+        spark.conf.set(size, str(TEXT_BATCH_BYTES))
 
 
 def running_sum(

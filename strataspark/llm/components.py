@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import materialize
+from strataspark.llm.common import mark, materialize, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     The result reads a written table: reading it more than once is cheap.
     """
+    since = mark()
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
     before = None
@@ -38,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = materialize(small.select("e.*").where("a <> b").distinct(), "edges", rows)
+        settle(e.sparkSession, since, e)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

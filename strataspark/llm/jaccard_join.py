@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import broadcast_if_small, materialize, text_batches
+from strataspark.llm.common import broadcast_if_small, mark, materialize, settle, text_batches
 from strataspark.llm.components import components
 from strataspark.llm.minhash import SIMILAR, forest, key_of, normal, shingles, signature, similar_pairs
 
@@ -145,7 +145,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
 
     Candidates go by a 64-bit hash of the node: one that two nodes share only adds a candidate.
     """
-    cut = LEVEL_BITS * (DEPTH - depth)
+    since, cut = mark(), LEVEL_BITS * (DEPTH - depth)
     keys = nodes.select("short", F.explode("labels").alias("label")).select("short", F.shiftright("label", cut).alias("key"))
     shared = keys.groupBy("key").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most")
     shared = materialize(shared.select(F.col("key").alias("k"), "least"), "join-prefixes")
@@ -170,18 +170,21 @@ def _verified(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     sets = rows.select("uid", "text").join(placed, F.col("uid") == F.col("of")).select(
         "node", "root", "blocks", "block", whole_set("text").alias("shingles")
     )
-    return links_of(sets, bins, "string")
+    found = links_of(sets, bins, "string")
+    settle(rows.sparkSession, since, found)
+    return found
 
 
 def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``links_of`` the table of ``keyed`` and its nodes, prefixes shortened to the target recall."""
-    depth = DEPTH
+    since, depth = mark(), DEPTH
     while True:
         found = _verified(rows, nodes, depth)
         alike = found.where("b IS NOT NULL").groupBy("similarity").agg(F.sum(F.lit(1)).alias("n")).collect()
         wanted = shortened({r["similarity"]: r["n"] for r in alike}, depth)
         if wanted >= depth:
             return found
+        settle(rows.sparkSession, since)
         depth = wanted
 
 
@@ -225,11 +228,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id (rows without one
     last; of the rows of one id any, but one)."""
     rows = keyed(docs, whole=True)
+    since = mark()
     classes = materialize(_join(rows).select("uid", "doc_id", "root"), "join-classes")
+    settle(docs.sparkSession, since, classes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     several = classes.groupBy(F.col("root").alias("r")).agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
     several = materialize(several.select("r", F.col("first.uid").alias("stays")), "join-kept")
     gone = classes.join(broadcast_if_small(several, several.count()), F.col("root") == F.col("r"))
     gone = materialize(gone.where("uid <> stays").select(F.col("uid").alias("goes")), "join-gone")
+    settle(docs.sparkSession, since, gone)
     kept = rows.join(broadcast_if_small(gone, gone.count()), F.col("uid") == F.col("goes"), "left_anti")
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataspark.llm.common import broadcast_if_small, materialize, running_sum
+from strataspark.llm.common import broadcast_if_small, mark, materialize, running_sum, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -203,9 +203,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         "uid", "row.doc_id", "row.source",
         F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
+    since = mark()
     sizes = materialize(sizes, "mix-sizes")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     places = _mix(sizes).where("taken > 0").select(F.col("uid").alias("of"), F.explode(F.slice("slots", F.lit(1), copies)).alias("slot"))
-    taken = whole.join(broadcast_if_small(places, MOST_REPEATS * sizes.count()), F.col("uid") == F.col("of"))
+    places = materialize(places, "mix-places")
+    settle(docs.sparkSession, since, places)
+    taken = whole.join(broadcast_if_small(places, places.count()), F.col("uid") == F.col("of"))
     ordered = taken.repartitionByRange("slot", "uid").sortWithinPartitions("slot", "uid")
     return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

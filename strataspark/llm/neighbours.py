@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strataspark.llm.common import broadcast_if_small, drawn, materialize
+from strataspark.llm.common import broadcast_if_small, drawn, mark, materialize, settle
 
 #: Tables to choose from, rows per code wanted, codes at most (buckets beyond are cut into cells).
 TABLES = (1, 2, 4)
@@ -341,6 +341,7 @@ def _reranked(dtype: str, k: int) -> Callable:
 
 def _nearest(index: DataFrame, wanted: DataFrame, plans: Plans, dtype: str, k: int) -> DataFrame:
     """key, uid, vec_id, none, score, r of the k + 1 nearest probed rows of each wanted vector (key, q, dim)."""
+    since = mark()
     placed = index.select("uid", "vec_id", "none", "v", "dim", F.explode(_placing(plans, dtype)("v", "dim", "ln")).alias("p"))
     placed = materialize(placed.select("uid", "vec_id", "none", "v", "dim", "p.*"), "nn-placed")
     visits = wanted.select("key", "q", "dim", F.explode(_probing(plans, dtype)("q", "dim")).alias("p"))
@@ -363,7 +364,9 @@ def _nearest(index: DataFrame, wanted: DataFrame, plans: Plans, dtype: str, k: i
     if any(p.tables > 1 for p in plans.values()):
         found = found.dropDuplicates(["key", "uid"])
     order = Window.partitionBy("key").orderBy(F.desc("score"), "none", "vec_id", "uid")
-    return materialize(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1), "nn-found")
+    found = materialize(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1), "nn-found")
+    settle(index.sparkSession, since, found)
+    return found
 
 
 def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEAREST) -> DataFrame:

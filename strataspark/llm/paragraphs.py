@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataspark.llm.common import broadcast_if_small, materialize, text_batches
+from strataspark.llm.common import broadcast_if_small, mark, materialize, settle, text_batches
 from strataspark.llm.components import components
 from strataspark.llm.jaccard_join import BLOCK_NODES, links_of
 from strataspark.llm.minhash import SIMILAR, key_of, normal, runs, shingles, signature
@@ -196,6 +196,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
             out.append([{"pos": p, "h": x} for p, x in zip(at.tolist(), h.tolist(), strict=True)])
         return pd.Series(out, dtype=object)
 
+    since = mark()
     found = whole.select("uid", "doc_id", F.explode(anchors("text", "__lines")).alias("a")).select("uid", "doc_id", "a.*")
     found = materialize(found, "passage-anchors")
     shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
@@ -224,6 +225,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
         "uid", "doc_id", F.explode(around("text", "__lines", "at")).alias("a")
     )
     places = materialize(places.select("uid", "doc_id", "a.*"), "passage-places")
+    settle(spark, since, shared, places)
     of = shared.select("g", "n", F.col("first.uid").alias("fu"), F.col("first.pos").alias("fp"))
     first = places.join(of, (F.col("h") == F.col("g")) & (F.col("uid") == F.col("fu")) & (F.col("pos") == F.col("fp"))).select(
         "g", "n", "fu", "fp", F.col("doc_id").alias("fd"), *[F.col(c).alias(f"f_{c}") for c in ("before", "after", "lines")]
@@ -245,7 +247,9 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     met = met.withColumn("e", extent("before", "f_before", "after", "f_after", "lines", "f_lines")).select(
         "uid", "doc_id", "pos", "fu", "fd", "fp", "n", "e.*"
     )
-    met = materialize(met, "passage-met").where(F.col("b") + F.col("f") + ANCHOR_WORDS >= LEAST_WORDS)
+    met = materialize(met, "passage-met")
+    settle(spark, since, met)
+    met = met.where(F.col("b") + F.col("f") + ANCHOR_WORDS >= LEAST_WORDS)
     start, end = (lambda p: F.col(p) - F.col("b")), (lambda p: F.col(p) + ANCHOR_WORDS + F.col("f"))
     more = lambda kept, uid, doc, pos, line: met.select(
         F.col(uid).alias("uid"), F.col(doc).alias("doc_id"), F.lit(kept).alias("kept"), start(pos).alias("start"),
@@ -265,6 +269,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
         merged.select("uid", "doc_id", "kept", F.col("s.start"), "end", F.col("s.line"), F.col("s.first_doc_id"), F.col("s.first_line"), "n_places"),
         "passage-runs",
     )
+    settle(spark, since, merged)
     # the first place of one anchor may go for another anchor's sake: then it isn't kept
     lost = merged.where(~F.col("kept")).groupBy(F.col("uid").alias("l")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     within = F.exists("spans", lambda x: (x["start"] <= F.col("start")) & (x["end"] >= F.col("end")))
@@ -282,7 +287,9 @@ def all_repeats(docs: DataFrame) -> DataFrame:
     """The columns of ``repeats``: its places, and those of repeated passages in what is
     left, with the line in which they start."""
     rows = _rows(docs)
+    since = mark()
     lines = materialize(_repeats(rows), "paragraph-repeats")
+    settle(docs.sparkSession, since, lines)
     runs_ = passages(rows, _gone(lines)).withColumn("n_words", F.col("end") - F.col("start"))
     return lines.select(*COLUMNS).unionByName(runs_.select(*COLUMNS))
 
@@ -292,11 +299,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lines that lose some keep the others, one space between; n_chars follows."""
     columns = docs.columns
     rows = _rows(docs)
+    since = mark()
     gone = _gone(_repeats(rows))
+    settle(docs.sparkSession, since, gone)
     spans = passages(rows, gone).where(~F.col("kept")).groupBy(F.col("uid").alias("__of")).agg(
         F.collect_list(F.struct("start", "end")).alias("__spans")
     )
     spans = materialize(spans, "passage-gone")
+    settle(docs.sparkSession, since, gone, spans)
 
     @F.pandas_udf("string")
     def left(texts: pd.Series, lines: pd.Series, cuts: pd.Series) -> pd.Series:

@@ -18,6 +18,20 @@ def test_materialized_tables_are_frozen_and_dropped(spark):
     assert folder.exists() and common.drop_materialized(spark) >= 1 and not folder.exists()
 
 
+def test_settled_tables_go_but_those_that_are_read(spark):
+    since = common.mark()
+    one = common.materialize(spark.range(10), "one")
+    two = common.materialize(one.where("id > 3"), "two")
+    three = common.materialize(two.where("id > 5"), "three")
+    lazy = two.unionByName(three).distinct()
+    common.settle(spark, since, lazy)
+    assert len(common.written(since)) == 2 and lazy.count() == 6
+    common.settle(spark, since, three)
+    assert three.count() == 4 and [p.rpartition("/")[2].split("-")[0] for p in common.written(since)] == ["three"]
+    common.settle(spark, since)
+    assert common.mark() == since
+
+
 def test_running_sum_by_buckets(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), i, rng.randint(0, 9)) for i in range(500)]
@@ -37,7 +51,7 @@ def test_draws_take_the_least_hashes(spark):
 
 
 def test_small_batches_are_never_enlarged(spark):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, "100")
     common.text_batches(spark)
@@ -45,4 +59,5 @@ def test_small_batches_are_never_enlarged(spark):
     spark.conf.set(key, "10000")
     common.text_batches(spark)
     assert spark.conf.get(key) == str(common.TEXT_BATCH_ROWS)
+    assert int(spark.conf.get(size).rstrip("b")) == common.TEXT_BATCH_BYTES
     spark.conf.set(key, before)
