@@ -8,13 +8,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from strataspark.functions import tables
-from strataspark.functions.text import bool_text, choose, display_name, fixed, has_flag, hex_id, parse_hex, present, shortened
+from strataspark.functions.text import display_name, hex_id, parse_hex, present, shortened
 from strataspark.ingest import decoded
 from strataspark.operators import diff, lookups, refs, search, tree, unreleased
-from strataspark.plans import views
+from strataspark.plans import files, roundtrip, views
 from strataspark.plans.views import read, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,15 +274,6 @@ def xrefs_reverse(s: SparkSession, d: str) -> DataFrame:
     return refs.reverse(_xrefs(s, d)).select("dst", joined.alias("sources"))
 
 
-@query("SELECT t.pos, t.form_id, coalesce(" + NAMES + """, '') AS name FROM (
-    SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_partkey AS form_id FROM lineitem WHERE l_orderkey < 50) t
-  LEFT JOIN r_new r ON r.form_id = t.form_id""")
-def sequence_names(s: SparkSession, d: str) -> DataFrame:
-    few = read(s, d, "lineitem").where("l_orderkey < 50")
-    pos = (F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1).cast("long")
-    return refs.sequence_names(few.select(pos.alias("pos"), F.col("l_partkey").alias("form_id")), _new(s, d))
-
-
 @query("""SELECT form_id, field_value FROM f_new WHERE field_name = 'brand'
   AND form_id IN (SELECT form_id FROM r_new WHERE record_type = 'PROMO')""")
 def path_lookup(s: SparkSession, d: str) -> DataFrame:
@@ -329,17 +318,6 @@ def heuristic_counts(s: SparkSession, d: str) -> DataFrame:
     return unreleased.heuristic_counts(_new(s, d))
 
 
-@query("""SELECT l_orderkey, l_linenumber, printf('%.1f', (l_quantity / 8)::FLOAT::DOUBLE) AS f1, printf('%.2f', (l_extendedprice / 16)::FLOAT::DOUBLE) AS f2,
-    printf('%.4f', (l_discount / 3)::FLOAT::DOUBLE) AS f4, printf('%.6f', (l_tax / 7)::FLOAT::DOUBLE) AS f6 FROM lineitem""")
-def decode_float_text(s: SparkSession, d: str) -> DataFrame:
-    single = lambda c, n: fixed((F.col(c) / n).cast("float").cast("double"), digits[n])
-    digits = {8: 1, 16: 2, 3: 4, 7: 6}
-    return read(s, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", single("l_quantity", 8).alias("f1"), single("l_extendedprice", 16).alias("f2"),
-        single("l_discount", 3).alias("f4"), single("l_tax", 7).alias("f6"),
-    )
-
-
 @query("""SELECT p_partkey AS form_id, f.field_name, CASE f.field_name WHEN 'value' THEN cents::VARCHAR ELSE printf('%.2f', (p_size / 8)::FLOAT::DOUBLE) END AS field_value,
     f.field_type, f.ordinal FROM (SELECT p_partkey, p_size, round(p_retailprice * 100)::INTEGER AS cents FROM part),
     (VALUES (0, 'value', 'int'), (1, 'weight', 'float')) f(ordinal, field_name, field_type)""")
@@ -359,37 +337,6 @@ def decode_misc_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return decoded(raw, none).select("form_id", "field_name", "field_value", "field_type", "ordinal")
 
 
-@query("""SELECT p_partkey, printf('0x%08X', p_partkey * 2654435) AS flags,
-    CASE WHEN p_partkey & 1 <> 0 THEN 'True' ELSE 'False' END AS is_one, CASE WHEN p_partkey & 128 <> 0 THEN 'True' ELSE 'False' END AS is_high FROM part""")
-def decode_flags(s: SparkSession, d: str) -> DataFrame:
-    key = F.col("p_partkey")
-    return read(s, d, "part").select(
-        "p_partkey", hex_id(key * 2654435).alias("flags"),
-        bool_text(has_flag(key, 1)).alias("is_one"), bool_text(has_flag(key, 128)).alias("is_high"),
-    )
-
-
-def _case(table: dict[int, str], code: str) -> str:
-    return f"CASE {' '.join(f'WHEN {code} = {k} THEN {v!r}' for k, v in table.items())} ELSE ({code})::VARCHAR END"
-
-
-@query(f"""SELECT p_partkey, {_case(tables.QUST_TYPE, '(p_partkey % 11)')} AS quest_type, {_case(tables.ENCH_TYPE, 'p_size')} AS enchant_type FROM part""")
-def enum_lookup(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "part").select(
-        "p_partkey", choose(tables.QUST_TYPE, F.col("p_partkey") % 11).alias("quest_type"),
-        choose(tables.ENCH_TYPE, F.col("p_size")).alias("enchant_type"),
-    )
-
-
-@query(f"""SELECT p_partkey, CASE {' '.join(f"WHEN (p_partkey % 256) >> 5 = {k} THEN '{v}'" for k, v in tables.CONDITION_OPERATORS.items())}
-    ELSE '?op' || ((p_partkey % 256) >> 5) END AS operator FROM part""")
-def condition_operator(s: SparkSession, d: str) -> DataFrame:
-    code = F.shiftright((F.col("p_partkey") % 256).cast("int"), 5).bitwiseAND(F.lit(7))
-    pairs = [F.lit(x) for item in tables.CONDITION_OPERATORS.items() for x in item]
-    text = F.coalesce(F.element_at(F.create_map(*pairs), code), F.concat(F.lit("?op"), code.cast("string")))
-    return read(s, d, "part").select("p_partkey", text.alias("operator"))
-
-
 @query("""SELECT p_partkey, CASE WHEN t LIKE '0x%' AND regexp_full_match(substr(t, 3), '[0-9A-Fa-f]+') THEN t::BIGINT END AS id FROM (
     SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'zz' ELSE printf('0x%X', p_partkey * 4097) END AS t FROM part)""")
 def hex_parse(s: SparkSession, d: str) -> DataFrame:
@@ -398,22 +345,12 @@ def hex_parse(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "part").select("p_partkey", parse_hex(text).alias("id"))
 
 
-@query("""SELECT o_orderkey, sha256(string_agg(l_linenumber || ':' || l_returnflag || ':' || l_linestatus, '|' ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus)) AS content_hash
-  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
-def content_hash(s: SparkSession, d: str) -> DataFrame:
-    part = F.concat_ws(":", F.col("l_linenumber").cast("string"), "l_returnflag", "l_linestatus")
-    rows = read(s, d, "orders").select("o_orderkey").join(read(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", part.alias("t"))))
-    grouped = rows.groupBy("o_orderkey").agg(ordered.alias("x"))
-    return grouped.select("o_orderkey", F.sha2(F.array_join(F.transform("x", lambda e: e["t"]), "|"), 256).alias("content_hash"))
-
-
 PARTS = "+ n AS (SELECT count(*) AS n FROM part)"
 
 
 @query(PARTS + """, e AS (SELECT p_partkey AS parent, (2 * p_partkey + 1) % n AS child FROM part, n
     UNION ALL SELECT p_partkey, (3 * p_partkey) % n FROM part, n),
-  c(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 20
+  c(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part
     UNION SELECT root, child, depth + 1 FROM c JOIN e ON parent = node WHERE depth < 5)
   SELECT root, node, min(depth)::INTEGER AS depth FROM c GROUP BY 1, 2""", recursive=True)
 def tree_closure(s: SparkSession, d: str) -> DataFrame:
@@ -421,38 +358,7 @@ def tree_closure(s: SparkSession, d: str) -> DataFrame:
     n = F.broadcast(part.agg(F.count("*").alias("n")))
     key = F.col("p_partkey")
     edges = part.join(n).select(key.alias("parent"), F.explode(F.array((2 * key + 1) % F.col("n"), (3 * key) % F.col("n"))).alias("child"))
-    return tree.closure(edges, part.where("p_partkey < 20").select(key.alias("root")), max_depth=5)
-
-
-@query("""SELECT line FROM (
-    SELECT r_name AS line FROM region
-    UNION ALL SELECT '  - ' || n_name || ' [NATION] ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey
-    UNION ALL SELECT '    - ' || c_name || ' [CUSTOMER] ' || n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 100)""")
-def tree_text(s: SparkSession, d: str) -> DataFrame:
-    region, nation, customer = (read(s, d, t) for t in ("region", "nation", "customer"))
-    line = lambda depth, name, kind, above: F.concat(
-        F.repeat(F.lit("  "), depth), F.lit("- "), name, F.lit(f" [{kind}] "), above
-    )
-    second = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    third = customer.where("c_custkey < 100").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    return (
-        region.select(F.col("r_name").alias("line"))
-        .unionAll(second.select(line(1, F.col("n_name"), "NATION", F.col("r_name"))))
-        .unionAll(third.select(line(2, F.col("c_name"), "CUSTOMER", F.col("n_name"))))
-    )
-
-
-@query("""SELECT form_id, max(CASE WHEN field_name = 'size' THEN field_value END) AS size, max(CASE WHEN field_name = 'cents' THEN field_value END) AS cents,
-    max(CASE WHEN field_name = 'brand' THEN field_value END) AS brand FROM f_new GROUP BY 1""")
-def pivot_fields(s: SparkSession, d: str) -> DataFrame:
-    return views.fields(s, d, True).groupBy("form_id").pivot("field_name", ["size", "cents", "brand"]).agg(F.max("field_value"))
-
-
-@query("""SELECT p_partkey AS form_id, field_name, field_value FROM (
-    SELECT p_partkey, p_name, p_brand, p_type FROM part) UNPIVOT (field_value FOR field_name IN (p_name, p_brand, p_type))""")
-def unpivot_fields(s: SparkSession, d: str) -> DataFrame:
-    wide = read(s, d, "part").withColumnRenamed("p_partkey", "form_id")
-    return wide.unpivot("form_id", ["p_name", "p_brand", "p_type"], "field_name", "field_value")
+    return tree.closure(edges, part.select(key.alias("root")), max_depth=5)
 
 
 @query(f"SELECT {_SIDE} FROM r_new QUALIFY row_number() OVER (PARTITION BY record_type ORDER BY form_id) <= 50")
@@ -483,27 +389,6 @@ def _described(s: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"flags": F.col("form_id") * 3, "data_size": F.lit(0).cast("long")})
 
 
-@query("""SELECT c_custkey, a.o_orderkey AS first_key, b.o_orderkey AS second_key, a.rn AS pos FROM
-    (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey % 2 = 0) a
-  JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey % 2 = 1) b
-    ON b.o_custkey = c_custkey AND a.rn = b.rn""")
-def positional_zip(s: SparkSession, d: str) -> DataFrame:
-    orders = read(s, d, "orders")
-    of = lambda odd: F.array_sort(F.collect_list(F.when(F.col("o_orderkey") % 2 == odd, F.col("o_orderkey"))))
-    lists = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(of(0).alias("a"), of(1).alias("b"))
-    n = F.least(F.size("a"), F.size("b"))
-    pairs = lists.select("c_custkey", F.posexplode(F.arrays_zip(F.slice("a", 1, n).alias("x"), F.slice("b", 1, n).alias("y"))).alias("p", "z"))
-    return pairs.select("c_custkey", F.col("z.x").alias("first_key"), F.col("z.y").alias("second_key"), (F.col("p") + 1).cast("long").alias("pos"))
-
-
-@query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS)
-    OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS attached FROM events""")
-def asof_attach(s: SparkSession, d: str) -> DataFrame:
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    anchor = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(before)
-    return read(s, d, "events").select("event_id", "user_id", anchor.alias("attached"))
-
-
 @query(f"""SELECT string_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS shown FROM strs""")
 def string_preview(s: SparkSession, d: str) -> DataFrame:
     return views.strings(s, d).select("string_id", shortened(F.col("text"), 100).alias("shown"))
@@ -515,3 +400,18 @@ def display_names(s: SparkSession, d: str) -> DataFrame:
         "form_id", display_name(F.col("full_name"), F.col("editor_id")).alias("name"),
         present(F.replace("editor_id", F.lit("ATX_"), F.lit(""))).alias("bare"),
     )
+
+
+# Queries over bytes that are built from the tables
+
+for _name, _types in roundtrip.FAMILIES.items():
+    QUERIES[_name] = roundtrip.decode_family(_types)
+    ORACLE_SQL[_name] = with_views(roundtrip.family_sql(_types))
+QUERIES["condition_fields"] = roundtrip.condition_fields
+ORACLE_SQL["condition_fields"] = with_views(roundtrip.conditions_sql())
+for _name in (
+    "record_scan", "archive_contents", "archive_matching", "archive_containing", "archive_lookup", "texture_archives", "string_files",
+    "sequence_names", "tree_text", "content_hash",
+):
+    QUERIES[_name] = getattr(files, _name)
+    ORACLE_SQL[_name] = with_views(getattr(files, _name.upper()))

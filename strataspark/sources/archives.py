@@ -141,6 +141,7 @@ def _each(result_type: str, read) -> Callable[[Column], Column]:
 model_materials = _each("array<string>", binary.model_materials)
 material_texture = _each("string", binary.material_texture)
 voice_audio = _each("binary", binary.voice_audio)
+sequence_ids = _each("array<long>", binary.sequence_ids)
 
 
 SCRIPT = (

@@ -6,6 +6,7 @@ function; only a wrong file type raises.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,22 @@ def open_any(path: str) -> BinaryIO:
     return store.open_input_file(inner)
 
 
+def write_any(path: str, data: bytes) -> None:
+    """Write a whole file on any store, its folder with it."""
+    if "://" in path:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        store.create_dir(inner.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(inner) as f:
+            f.write(data)
+        return
+    local = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with open(local, "wb") as f:
+        f.write(data)
+
+
 def _at(f: BinaryIO, start: int, n: int) -> bytes:
     f.seek(start)
     return f.read(n)
