@@ -249,15 +249,19 @@ class Commands:
             self.say(f"{r['record_type']:<8}  {r['n']:>8,}")
 
     def strings(self) -> None:
+        from pyspark.sql import functions as F
+
+        from strataspark.functions.text import shortened
         from strataspark.operators.lookups import search_strings
 
-        rows = search_strings(self.store.strings(self.snapshot_id()), self.args.query).collect()
+        found = search_strings(self.store.strings(self.snapshot_id()), self.args.query)
+        rows = found.select("string_id", shortened(F.col("text"), 100).alias("text")).collect()
         if not rows:
             self.say(f"No strings found matching '{self.args.query}'.")
             return
         self.say(f"Found {len(rows)} strings:\n")
         for r in rows:
-            self.say(f"  0x{r['string_id']:08X}: {r['text'][:100] + '...' if len(r['text']) > 100 else r['text']}")
+            self.say(f"  0x{r['string_id']:08X}: {r['text']}")
 
     def export(self) -> None:
         from pyspark.sql import functions as F

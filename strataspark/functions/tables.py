@@ -9,15 +9,17 @@ WEAP_ANIMATION_TYPE = {
     11: "crossbow", 12: "cryolator",
 }
 WEAP_SOUND_LEVEL = {0: "loud", 1: "normal", 2: "silent", 3: "very_loud"}
-MGEF_ARCHETYPE = dict(enumerate((
-    "value_modifier", "script", "dispel", "cure_disease", "absorb", "dual_value_modifier", "calm", "demoralize",
-    "frenzy", "disarm", "command_summoned", "invisibility", "light", "darkness", "nighteye", "lock", "open",
-    "bound_weapon", "summon_creature", "detect_life", "telekinesis", "paralysis", "reanimate", "soul_trap",
-    "turn_undead", "guide", "werewolf_feed", "cure_paralysis", "cure_addiction", "cure_poison", "concussion",
-    "stimpak", "accumulate_magnitude", "stagger", "peak_value_modifier", "cloak", "werewolf", "slow_time", "rally",
-    "enhance_weapon", "spawn_hazard", "etherealize", "banish", "spawn_scripted_ref", "disguise", "grab_actor",
-    "vampire_lord",
-)))
+MGEF_ARCHETYPE = {
+    0: "value_modifier", 1: "script", 2: "dispel", 3: "cure_disease", 4: "absorb", 5: "dual_value_modifier",
+    6: "calm", 7: "demoralize", 8: "frenzy", 9: "disarm", 10: "command_summoned", 11: "invisibility",
+    12: "light", 13: "darkness", 14: "nighteye", 15: "lock", 16: "open", 17: "bound_weapon",
+    18: "summon_creature", 19: "detect_life", 20: "telekinesis", 21: "paralysis", 22: "reanimate",
+    23: "soul_trap", 24: "turn_undead", 25: "guide", 26: "werewolf_feed", 27: "cure_paralysis",
+    28: "cure_addiction", 29: "cure_poison", 30: "concussion", 31: "stimpak", 32: "accumulate_magnitude",
+    33: "stagger", 34: "peak_value_modifier", 35: "cloak", 36: "werewolf", 37: "slow_time", 38: "rally",
+    39: "enhance_weapon", 40: "spawn_hazard", 41: "etherealize", 42: "banish", 43: "spawn_scripted_ref",
+    44: "disguise", 45: "grab_actor", 46: "vampire_lord",
+}
 CASTING_TYPE = {0: "constant_effect", 1: "fire_and_forget", 2: "concentration"}
 TARGET_TYPE = {0: "self", 1: "touch", 2: "aimed", 3: "target_actor", 4: "target_location"}
 SPEL_TYPE = {0: "spell", 1: "disease", 2: "power", 3: "lesser_power", 4: "ability", 5: "addiction"}
@@ -44,14 +46,6 @@ DIAL_SUBTYPE = {
 }
 REGN_DATA_TYPE = {2: "objects", 3: "weather", 4: "map", 5: "land", 6: "grass", 7: "sound", 8: "imposter"}
 PROJ_TYPE = {1: "missile", 2: "lobber", 3: "beam", 4: "flame", 5: "cone", 6: "barrier", 7: "arrow"}
-CELL_FLAGS = {
-    0x0001: "is_interior", 0x0002: "has_water", 0x0004: "cant_travel_from", 0x0008: "no_lod_water",
-    0x0020: "public_area", 0x0040: "hand_changed", 0x0080: "show_sky", 0x0100: "use_sky_lighting",
-}
-EXPL_FLAGS = {
-    0x0001: "always_use_world_orientation", 0x0002: "knock_down_always", 0x0004: "knock_down_by_formula",
-    0x0008: "ignore_los_check", 0x0010: "no_visual", 0x0020: "no_sound",
-}
 
 # Condition operators (three bits), run-on targets, parameter kinds and axes.
 CONDITION_OPERATORS = {0: "==", 1: "!=", 2: ">", 3: ">=", 4: "<", 5: "<="}

@@ -62,65 +62,12 @@ def display_name(full_name: Column, editor_id: Column) -> Column:
     return F.coalesce(present(full_name), present(editor_id))
 
 
-def fixed(value: Column, digits: int) -> Column:
-    """C-style %.Nf of a double that holds a single-precision value: half-even on the
-    value; a negative zero stays negative.
-
-    Not a number and infinities are nan, inf and -inf.
-    """
-    rounded = F.bround(F.abs(value).cast("decimal(38,18)"), digits)
-    minus = F.when((value < 0) | (value.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
-    text = F.concat(minus, rounded.cast(f"decimal(38,{digits})").cast("string"))
-    return (
-        F.when(F.isnan(value), F.lit("nan"))
-        .when(value == float("inf"), F.lit("inf"))
-        .when(value == float("-inf"), F.lit("-inf"))
-        .otherwise(text)
-    )
-
-
-def bool_text(flag: Column) -> Column:
-    """True or False, as decoded fields have it."""
-    return F.when(flag, F.lit("True")).when(~flag, F.lit("False"))
-
-
-def has_flag(flags: Column, mask: int) -> Column:
-    return flags.bitwiseAND(F.lit(mask)) != 0
-
-
 def type_name(record_type: Column) -> Column:
     """Display name of a record type, the type itself where it has none."""
     pairs = [F.lit(x) for item in TYPE_NAMES.items() for x in item]
     return F.coalesce(F.element_at(F.create_map(*pairs), record_type), record_type)
 
 
-def choose(table: dict[int, str], value: Column) -> Column:
-    """Text of a code, the code itself where the table doesn't have it."""
-    pairs = [F.lit(x) for item in sorted(table.items()) for x in item]
-    key = value.cast("int")
-    return F.coalesce(F.element_at(F.create_map(*pairs), key), key.cast("string"))
-
-
-def escape_html(text: Column) -> Column:
-    """&, < and > as character references (quotes stay); empty for null."""
-    out = F.coalesce(text, F.lit(""))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
-
-
 def shortened(text: Column, n: int) -> Column:
     """At most n characters, an ellipsis after a cut."""
     return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
-
-
-def slashes(path: Column) -> Column:
-    """Backslashes as slashes."""
-    return F.replace(path, F.lit("\\"), F.lit("/"))
-
-
-def with_extension(path: Column, extension: str) -> Column:
-    """The path with its last extension replaced; appended where it has none."""
-    return F.when(path.contains("."), F.concat(F.regexp_replace(path, r"\.[^.]*$", ""), F.lit(extension))).otherwise(
-        F.concat(path, F.lit(extension))
-    )

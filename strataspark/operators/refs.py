@@ -48,10 +48,15 @@ def forward(refs: DataFrame) -> DataFrame:
     return refs.groupBy("src").agg(e.alias("targets"))
 
 
+#: Ids of sources in one row of ``reverse``: bounds its array whatever refers to a record.
+SOURCE_IDS = 1 << 16
+
+
 def reverse(refs: DataFrame) -> DataFrame:
-    """dst, sources: what refers to each record, by source and field order."""
+    """dst, part, sources: what refers to each record, by source and field order; in parts
+    of SOURCE_IDS ids, as much may refer to one record."""
     e = F.array_sort(F.collect_list(F.struct("src", "ordinal", "field_name", "src_name")))
-    return refs.groupBy("dst").agg(e.alias("sources"))
+    return refs.groupBy("dst", F.floor(F.col("src") / SOURCE_IDS).alias("part")).agg(e.alias("sources"))
 
 
 def sequence_names(ids: DataFrame, records: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import like
@@ -40,18 +40,24 @@ def quests(records: DataFrame, quest_type: str = "QUST") -> DataFrame:
 
 
 def find_unreleased(records: DataFrame) -> DataFrame:
-    """category, place (order within the category's listing) and the record's columns."""
-    columns = records.columns
-    parts = [
-        shop(records).select(F.lit(SHOP).alias("category"), F.lit(0).alias("pattern"), (-F.col("form_id")).alias("place"), *columns),
-        cut(records).select(F.lit(CUT).alias("category"), "pattern", F.col("form_id").alias("place"), *columns),
-        high(records).select(F.lit(HIGH).alias("category"), F.lit(0).alias("pattern"), (-F.col("form_id")).alias("place"), *columns),
-        quests(records).select(F.lit(QUESTS).alias("category"), F.lit(0).alias("pattern"), (-F.col("form_id")).alias("place"), *columns),
-    ]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union
+    """category, pattern, place (order within the category's listing) and the record's columns.
+
+    One pass over the records, beside the one for the largest id: a record gives a row for
+    each category and pattern that it matches.
+    """
+    key, name, kind = F.col("form_id"), F.col("editor_id"), F.col("record_type")
+    most = records.agg(F.floor(F.max("form_id").cast("double") * F.lit(HIGH_SHARE)).alias("__least"))
+    in_shop = like(name, SHOP_PATTERN)
+
+    def match(test: Column, category: str, place: Column, pattern: int = 0) -> Column:
+        return F.when(test, F.struct(F.lit(category).alias("category"), F.lit(pattern).alias("pattern"), place.alias("place")))
+
+    found = F.array(
+        match(in_shop, SHOP, -key), *[match(like(name, p), CUT, key, i) for i, p in enumerate(CUT_PATTERNS)],
+        match(kind.isin(*HIGH_TYPES) & (key > F.col("__least")), HIGH, -key), match(in_shop & (kind == "QUST"), QUESTS, -key),
+    )
+    tagged = records.join(F.broadcast(most)).withColumn("__found", F.explode(F.array_compact(found)))
+    return tagged.select("__found.*", *records.columns)
 
 
 def heuristic_counts(records: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.functions.text import display_name, hex_id, parse_hex, present, shortened
+from strataspark.functions.tables import TYPE_NAMES
+from strataspark.functions.text import display_name, hex_id, parse_hex, present, shortened, type_name
 from strataspark.ingest import decoded
 from strataspark.operators import diff, lookups, refs, search, tree, unreleased
 from strataspark.plans import files, roundtrip, views
@@ -268,10 +269,11 @@ def xrefs_forward(s: SparkSession, d: str) -> DataFrame:
     return refs.forward(_xrefs(s, d)).select("src", joined.alias("targets"))
 
 
-@query(XREFS + """ SELECT dst, string_agg(src_name || '>' || field_name, ',' ORDER BY src, ordinal, field_name) AS sources FROM x GROUP BY 1""")
+@query(XREFS + """ SELECT dst, src // 65536 AS part, string_agg(src_name || '>' || field_name, ',' ORDER BY src, ordinal, field_name) AS sources
+  FROM x GROUP BY 1, 2""")
 def xrefs_reverse(s: SparkSession, d: str) -> DataFrame:
     joined = F.array_join(F.transform("sources", lambda t: F.concat(t["src_name"], F.lit(">"), t["field_name"])), ",")
-    return refs.reverse(_xrefs(s, d)).select("dst", joined.alias("sources"))
+    return refs.reverse(_xrefs(s, d)).select("dst", "part", joined.alias("sources"))
 
 
 @query("""SELECT form_id, field_value FROM f_new WHERE field_name = 'brand'
@@ -402,6 +404,16 @@ def display_names(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+_KINDS = ("WEAP", "NPC_", "OMOD", "????", "XXXX")
+_NAMED = " ".join(f"WHEN '{t}' THEN '{TYPE_NAMES[t]}'" for t in _KINDS if t in TYPE_NAMES)
+
+
+@query(f"SELECT p_partkey, kind, CASE kind {_NAMED} ELSE kind END AS shown FROM (SELECT p_partkey, {list(_KINDS)}[p_partkey % 5 + 1] AS kind FROM part)")
+def type_names(s: SparkSession, d: str) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % 5).cast("int"))
+    return read(s, d, "part").select("p_partkey", kind.alias("kind"), type_name(kind).alias("shown"))
+
+
 # Queries over bytes that are built from the tables
 
 for _name, _types in roundtrip.FAMILIES.items():
