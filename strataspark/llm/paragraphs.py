@@ -41,8 +41,9 @@ VALUES = 72
 SPACED = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 COLUMNS = ["doc_id", "line", "n_words", "kept", "first_doc_id", "first_line", "n_places"]
 TARGET_RECALL = 0.995
-#: Words of an anchor's window; windows, beside its own, among which it is the least.
-ANCHOR_WORDS = LEAST_WORDS // 2
+#: Words of an anchor's window; windows, beside its own, among which it is the least: every
+#: run of LEAST_WORDS words holds REACH + 1 windows. Two of REACH + 2 words are anchors.
+ANCHOR_WORDS = 16
 REACH = LEAST_WORDS - ANCHOR_WORDS
 
 
@@ -199,53 +200,65 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     since = mark()
     found = whole.select("uid", "doc_id", F.explode(anchors("text", "__lines")).alias("a")).select("uid", "doc_id", "a.*")
     found = materialize(found, "passage-anchors")
-    shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
-    shared = materialize(shared.where("n > 1").withColumnRenamed("h", "g"), "passage-shared")
-    wanted = found.join(shared.select("g"), F.col("h") == F.col("g"), "left_semi")
-    wanted = wanted.groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
-
-    @F.pandas_udf("array<struct<pos: int, h: long, line: int, before: binary, after: binary, lines: binary>>")
+    shared = found.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
+    # the first places are sought among the anchors that are shared alone
+    some = materialize(found.join(shared, F.col("h") == F.col("g")).drop("g"), "passage-shared")
+    settle(spark, since, some)
+    first = some.groupBy(F.col("h").alias("g")).agg(F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
+    wanted = some.join(first, F.col("h") == F.col("g")).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("pos", "h", "n", "first")).alias("at"))
+
+    @F.pandas_udf("array<struct<line: int, before: binary, after: binary, above: binary>>")
     def around(texts: pd.Series, lines: pd.Series, places: pd.Series) -> pd.Series:
         out = []
         for text, k, at in zip(texts, lines, places, strict=True):
             words, line = _stream(text, k)
             h = runs(b" ".join(words), 1).astype("<u4")
             own = []
-            for a in at:
-                p = a["pos"]
+            for p in at:
                 low, end = max(0, p - REACH), p + ANCHOR_WORDS
+                # how many lines above the anchor's each word before it stands
+                above = line[p] - line[low : p + 1][::-1]
+                above = above.astype(np.uint8 if above[-1] < 256 else "<u4")
                 own.append({
-                    "pos": p, "h": a["h"], "line": int(line[p]), "before": h[low:p][::-1].tobytes(),
-                    "after": h[end : end + REACH].tobytes(), "lines": line[low : p + 1][::-1].astype("<i4").tobytes(),
+                    "line": int(line[p]), "before": h[low:p][::-1].tobytes(), "after": h[end : end + REACH].tobytes(), "above": above.tobytes(),
                 })
             out.append(own)
         return pd.Series(out, dtype=object)
 
-    places = whole.join(wanted, F.col("uid") == F.col("u")).select(
-        "uid", "doc_id", F.explode(around("text", "__lines", "at")).alias("a")
-    )
-    places = materialize(places.select("uid", "doc_id", "a.*"), "passage-places")
-    settle(spark, since, shared, places)
-    of = shared.select("g", "n", F.col("first.uid").alias("fu"), F.col("first.pos").alias("fp"))
-    first = places.join(of, (F.col("h") == F.col("g")) & (F.col("uid") == F.col("fu")) & (F.col("pos") == F.col("fp"))).select(
-        "g", "n", "fu", "fp", F.col("doc_id").alias("fd"), *[F.col(c).alias(f"f_{c}") for c in ("before", "after", "lines")]
-    )
+    places = whole.join(wanted, F.col("uid") == F.col("u"))
+    places = places.select("uid", "doc_id", "at", around("text", "__lines", F.transform("at", lambda a: a["pos"])).alias("context"))
+    places = places.select("uid", "doc_id", F.explode(F.arrays_zip("at", "context")).alias("a"))
+    places = materialize(places.select("uid", "doc_id", "a.at.*", "a.context.*"), "passage-places")
+    settle(spark, since, places)
+    is_first = (F.col("uid") == F.col("first.uid")) & (F.col("pos") == F.col("first.pos"))
+    first = places.where(is_first).select(F.col("h").alias("g"), *[F.col(c).alias(f"f_{c}") for c in ("line", "before", "after", "above")])
 
     @F.pandas_udf("struct<b: int, f: int, line: int, first_line: int>")
-    def extent(before: pd.Series, f_before: pd.Series, after: pd.Series, f_after: pd.Series, lines: pd.Series, f_lines: pd.Series) -> pd.DataFrame:
+    def extent(
+        before: pd.Series, f_before: pd.Series, after: pd.Series, f_after: pd.Series, line: pd.Series, above: pd.Series,
+        f_line: pd.Series, f_above: pd.Series,
+    ) -> pd.DataFrame:
         def same(x: bytes, y: bytes) -> int:
+            if x == y:
+                return len(x) // 4
             n = min(len(x), len(y)) // 4
             other = np.flatnonzero(np.frombuffer(x, "<u4", n) != np.frombuffer(y, "<u4", n))
             return int(other[0]) if len(other) else n
 
         b = [same(x, y) for x, y in zip(before, f_before, strict=True)]
         f = [same(x, y) for x, y in zip(after, f_after, strict=True)]
-        at = lambda column: [int(np.frombuffer(x, "<i4")[k]) for x, k in zip(column, b, strict=True)]
-        return pd.DataFrame({"b": b, "f": f, "line": at(lines), "first_line": at(f_lines)})
-
-    met = places.join(first, F.col("h") == F.col("g")).where(~((F.col("uid") == F.col("fu")) & (F.col("pos") == F.col("fp"))))
-    met = met.withColumn("e", extent("before", "f_before", "after", "f_after", "lines", "f_lines")).select(
-        "uid", "doc_id", "pos", "fu", "fd", "fp", "n", "e.*"
+        def start(n: int, above: bytes, words: bytes, k: int) -> int:
+            """Line of the word k places before the anchor in line n."""
+            one = len(above) == len(words) // 4 + 1  # a byte for each
+            return n - (above[k] if one else int.from_bytes(above[4 * k : 4 * k + 4], "little"))
+
+        return pd.DataFrame({
+            "b": b, "f": f, "line": list(map(start, line, above, before, b)), "first_line": list(map(start, f_line, f_above, f_before, b)),
+        })
+
+    met = places.where(~is_first).join(first, F.col("h") == F.col("g"))
+    met = met.withColumn("e", extent("before", "f_before", "after", "f_after", "line", "above", "f_line", "f_above")).select(
+        "uid", "doc_id", "pos", F.col("first.uid").alias("fu"), F.col("first.doc_id").alias("fd"), F.col("first.pos").alias("fp"), "n", "e.*"
     )
     met = materialize(met, "passage-met")
     settle(spark, since, met)

@@ -308,3 +308,53 @@ def test_rows_without_an_id_or_of_one_id_lose_their_own_lines_only(spark):
     out = [r["text"] for r in paragraphs.remove_repeats(docs).collect()]
     assert set(others) <= set(out) and len(out) == 7
     assert sum(same in t for t in out) == 1
+
+
+def windows_of(text):
+    w = (text or "").lower().split()
+    return [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+
+
+def covered(texts):
+    """Of each text, the words in a run of 50 words that stands in more than one place."""
+    n = Counter(x for t in texts for x in windows_of(t))
+    out = []
+    for t in texts:
+        hit = np.zeros(len((t or "").split()), dtype=bool)
+        for i, x in enumerate(windows_of(t)):
+            if n[x] > 1:
+                hit[i : i + 50] = True
+        out.append(hit)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_run_of_fifty_words_is_left_twice_and_nothing_else_goes(spark, seed):
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = [fresh(rng.randint(50, 130)) for _ in range(8)] + [fresh(49)]
+    texts = []
+    for _ in range(40):
+        words = fresh(rng.randint(0, 60))
+        for run in rng.sample(shared, rng.randint(0, 3)):
+            a = rng.randint(0, max(0, len(run) - 50)) if rng.random() < 0.3 else 0
+            words += run[a:] + fresh(rng.randint(0, 40))
+        at, lines = 0, []
+        while at < len(words):  # lines short and long, with blank ones between
+            n = rng.choice([3, 12, 30, 200])
+            lines += [" ".join(words[at : at + n])] + [""] * rng.choice([0, 0, 1, 300])
+            at += n
+        texts.append("\n".join(lines))
+    rows = [(None if i % 9 == 0 else i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(500, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = [r["text"] for r in paragraphs.remove_repeats(docs).collect()]
+    assert max(Counter(x for t in kept for x in windows_of(t)).values()) == 1
+    hit = covered([r[1] for r in rows])
+    left = Counter(w for t in kept for w in (t or "").split())
+    for (_, text, *_), h in zip(rows, hit, strict=True):
+        for w, x in zip((text or "").split(), h, strict=True):
+            assert left[w] >= 1 and (x or left[w] == sum((t or "").split().count(w) for _, t, *_ in rows)), w
+    places = paragraphs.all_repeats(docs).where("NOT kept").collect()
+    lines = {i: (t or "").split("\n") for i, t, *_ in rows}
+    assert places and all(r["n_words"] >= 50 and 0 <= r["line"] < len(lines[r["doc_id"]]) for r in places if r["doc_id"] is not None)
+    assert all(lines[r["doc_id"]][r["line"]] for r in places if r["doc_id"] is not None)
