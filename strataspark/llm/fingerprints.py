@@ -33,10 +33,13 @@ from strataspark.llm.common import text_batches
 SHORTEST, WANTED, LONGEST = 12, 40, 160
 STRICT, LOOSE = 6, 4
 WINDOW = 8
-#: Rows of a neighbour bucket, and how many buckets there are at most: what the
-#: driver holds is a row of each. Buckets are sorted and streamed, never held.
+#: Rows of a neighbour bucket, and how many ranges of ids there are at most: what the
+#: driver holds is a row of each. Ids of more rows are buckets of their own, cut by hash of
+#: the text. Buckets are sorted and streamed, never held.
 BUCKET_ROWS = 4_000
 MOST_BUCKETS = 20_000
+#: Parts of one id's rows at most.
+_PARTS = 1 << 20
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -158,7 +161,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     Buckets are ranges of the order, found by one pass over the ids; a row goes
     to its bucket, and a bucket's first row also to the bucket before, so that
-    neighbours meet without a global sort. Texts are shuffled once.
+    neighbours meet without a global sort. Texts are shuffled once. Rows of one id that
+    fill more than a bucket are parted by the hash of their text, which orders them.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -171,19 +175,30 @@ def with_edits(docs: DataFrame) -> DataFrame:
         shares = [i / n for i in range(1, n)]
         found = keyed.select(F.percentile_approx("key", shares, max(10_000, 4 * n)).alias("q")).first()[0]
         edges = np.unique(np.array(found, dtype=np.int64))
-    shared = spark.sparkContext.broadcast(edges)
-
-    @F.pandas_udf("int")
-    def bucket_of(keys: pd.Series) -> pd.Series:
-        # descending: the highest keys are bucket 0
-        return pd.Series((len(shared.value) - np.searchsorted(shared.value, keys.to_numpy(), side="left")).astype("int32"))
-
-    placed = keyed.withColumn("bucket", bucket_of("key")).withColumn("tie", F.xxhash64("text"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).collect() if n > 1 else []
+    hot = {r["key"]: min(_PARTS, -(-r["n"] // BUCKET_ROWS)) for r in often}
+    # a bucket ends with its edge's id, so a hot one is alone between two edges
+    alone = [e for k in hot for e in (k, max(k, lowest + 1) - 1)]
+    shared = spark.sparkContext.broadcast((np.unique(np.concatenate([edges, np.array(alone, dtype=np.int64)])), hot))
+
+    @F.pandas_udf("long")
+    def bucket_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        ends, parts = shared.value
+        key = keys.to_numpy()
+        # descending: the highest keys are bucket 0, the highest hashes a hot key's part 0
+        bucket = (len(ends) - np.searchsorted(ends, key, side="left")).astype(np.int64) * _PARTS
+        for k, n in parts.items():
+            own = np.flatnonzero(key == k)
+            if len(own):
+                from_top = 0.5 - ties.to_numpy()[own] / 2.0**64
+                bucket[own] += np.minimum((from_top * n).astype(np.int64), n - 1)
+        return pd.Series(bucket)
+
+    placed = keyed.withColumn("tie", F.xxhash64("text")).withColumn("bucket", bucket_of("key", "tie"))
     # the first row of each bucket that has rows, and the bucket before it in the circle
     firsts = (
         keyed.select("key", F.xxhash64("text").alias("tie"))
-        .groupBy("key").agg(F.max("tie").alias("tie"))
-        .withColumn("bucket", bucket_of("key"))
+        .withColumn("bucket", bucket_of("key", "tie"))
         .groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("first"))
         .collect()
     )
@@ -191,7 +206,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     ghosts = [
         (r["first"]["key"], r["first"]["tie"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)
     ]
-    before = spark.createDataFrame(ghosts, "g_key long, g_tie long, g_bucket int")
+    before = spark.createDataFrame(ghosts, "g_key long, g_tie long, g_bucket long")
     sent = (
         placed.join(F.broadcast(before), (F.col("key") == F.col("g_key")) & (F.col("tie") == F.col("g_tie")))
         .groupBy("g_bucket").agg(F.max(F.struct("key", "tie", "doc_id", "text")).alias("r"))

@@ -82,3 +82,15 @@ def test_odd_tables(spark):
     assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in out) == [(0, 0), (0, 1), (1, 500), (1, 500), (1, 500)]
     plain = fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({r["fingerprint"] for r in plain if r["n_chars"] == 500}) == 2 and [r["n_chars"] for r in plain] == [500, 500, 500, 0, 1]
+
+
+def test_an_id_of_many_rows_is_parted_by_hash_of_text(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 5)
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(rng, 30) + str(i)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ties = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).collect()
+    order = sorted(ties, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["t"]), reverse=True)
+    want = sorted(hashlib.sha256(fp.edited(r["text"], order[(i + 1) % 90]["text"]).encode()).hexdigest() for i, r in enumerate(order))
+    out = fp.with_edits(docs).collect()
+    assert sorted(r["edited_sha256"] for r in out) == want and sum(r["doc_id"] is None for r in out) == 30
