@@ -40,3 +40,35 @@ def test_empty_documents_pass_all_stages(spark):
 def test_entry_has_one_query_of_each_operator():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Nulls in every column, repeated rows and ids, ties, very long texts, further columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    long = "every word stands here " + " ".join(f"word{i}" for i in range(60_000))
+    odd = [
+        (None, None, None, None, None), (None, "a text without an id, but with words", None, None, 36), (1, "", "", "", 0),
+        (7, "the same row stands twice in this table", "en", "web", 39), (7, "the same row stands twice in this table", "en", "web", 39),
+        (7, "another text under the same id", None, "web", 30), (8, long, "en", "web", len(long)), (9, long, "en", None, len(long)),
+    ]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    rows = rows.selectExpr("*", "doc_id AS uid", "'x' AS row", "1 AS __uid", "2 AS node", "3 AS size", "4 AS source_size", "'y' AS slots")
+    columns = rows.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = corpus_pipeline.materialize(stage(spark, rows, SF), f"o-{name}")
+        assert rows.columns == columns, name
+        if name == "jaccard_join":
+            texts = [r["text"] for r in rows.select("text").collect()]
+            assert texts.count(long) <= 1 and len([t for t in texts if t == odd[3][1]]) <= 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, rows, SF).collect()
+    assert packed and max(r["offset"] + r["length"] for r in packed) <= 1024
+
+
+def test_tables_of_a_stage_go_when_the_next_begins(spark):
+    from strataspark.llm import common
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    common.drop_materialized(spark)
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and {p.rpartition("/")[2].rpartition("-")[0] for p in common.written(0)} == {"pipeline-mixing", "pack-pieces"}
+    assert docs.count() > 0

@@ -75,3 +75,60 @@ def test_dual_coordinate_descent_separates():
     w, b = quality.dual_coordinate_descent(rows, np.ones(4), y, np.full(4, 10.0), epochs=200, tolerance=1e-6)
     margins = [w[r].sum() / np.sqrt(len(r)) + b for r in rows]
     assert all(m * s > 0.99 for m, s in zip(margins, y, strict=True))
+
+
+def plain_indicators(text):
+    """The same set, gram by gram."""
+    raw, out = (text or "").encode(), set()
+    for n in range(1, quality.ORDERS + 1):
+        for i in range(len(raw) - n + 1):
+            h = 0
+            for k, byte in enumerate(raw[i : i + n], 1):
+                h = (h * 0x01000193 + byte + k) & 0xFFFFFFFF
+            out.add((h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - quality.DIMS_BITS))
+    words = raw.split()
+    if len(words) > 1:
+        same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (len(words) - 1)
+        out.add(quality.HASHED + sum(same > x for x in quality.REPEATS))
+    return out
+
+
+def test_training_and_scores_equal_a_plain_refit(spark):
+    docs, labels = world(spark, 150)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    grams = {i: plain_indicators(t) for i, t in texts.items()}
+    assert all(set(quality.indicators(t).tolist()) == grams[i] for i, t in texts.items())
+    counts = np.zeros((2, quality.DIMS))
+    for i, v in y.items():
+        counts[v, list(grams[i])] += 1
+    n = [sum(v == c for v in y.values()) for c in (0, 1)]
+    ratios = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
+    assert np.allclose(quality.log_count_ratios(counts[1], counts[0], n[1], n[0]), ratios)
+    order = sorted(y, key=lambda i: i * 0x9E3779B97F4A7C15 % 2**64)
+    rows = [np.array(sorted(grams[i])) for i in order]
+    signs = np.array([1 if y[i] else -1 for i in order])
+    want = quality.fit(rows, signs, ratios, n[1], n[0])
+    got = quality.train(docs, labels)
+    assert np.allclose(got.weights, want.weights) and np.allclose([got.bias, got.slope, got.shift], [want.bias, want.slope, want.shift])
+    out = {r["doc_id"]: r["score"] for r in quality.score(docs, got).collect()}
+    for i, g in grams.items():
+        margin = sum(want.weights[k] for k in g) / max(1, len(g) ** 0.5) + want.bias
+        assert abs(out[i] - 1 / (1 + np.exp(-(want.slope * margin + want.shift)))) < 1e-9
+
+
+def test_the_descent_reaches_the_optimum():
+    """The gap between the hinge problem and its dual closes."""
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(60, 12, replace=False)) for _ in range(80)]
+    ratios, y, cost = rng.normal(size=60), np.where(rng.random(80) < 0.5, 1, -1), np.full(80, 0.7)
+    w, b = quality.dual_coordinate_descent(rows, ratios, y, cost, epochs=3000, tolerance=1e-9)
+    x = np.zeros((80, 61))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r] / np.sqrt(len(r))
+    x[:, 60] = 1.0
+    whole = np.append(w, b)
+    primal = lambda v: 0.5 * v @ v + cost @ np.maximum(0, 1 - y * (x @ v))
+    best = primal(whole)
+    for _ in range(300):  # no small step in any direction is better
+        assert primal(whole + rng.normal(size=61) * 10.0 ** rng.uniform(-4, -1)) >= best - 1e-9
