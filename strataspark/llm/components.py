@@ -19,14 +19,14 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (its component's least node) of every node of the edges (a, b).
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, root (its component's least node) of every node of the edges (a, b), ``rows`` at most.
 
     The result reads a written table: reading it more than once is cheap.
     """
     since = mark()
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialize(e, "edges")
+    e = materialize(e, "edges", rows)
     before = None
     while (now := _mark(e)) != before:
         before, rows = now, 2 * now[0]

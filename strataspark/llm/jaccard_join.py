@@ -145,13 +145,13 @@ def _verified(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
 
     Candidates go by a 64-bit hash of the node: one that two nodes share only adds a candidate.
     """
-    since, cut = mark(), LEVEL_BITS * (DEPTH - depth)
+    since, cut, most = mark(), LEVEL_BITS * (DEPTH - depth), TREES * nodes.count()
     keys = nodes.select("short", F.explode("labels").alias("label")).select("short", F.shiftright("label", cut).alias("key"))
     shared = keys.groupBy("key").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most")
-    shared = materialize(shared.select(F.col("key").alias("k"), "least"), "join-prefixes")
+    shared = materialize(shared.select(F.col("key").alias("k"), "least"), "join-prefixes", most // 2)
     shared = broadcast_if_small(shared, shared.count())
     candidates = keys.join(shared, F.col("key") == F.col("k")).select(F.col("short").alias("a"), F.col("least").alias("b"))
-    groups = components(candidates)
+    groups = components(candidates, most)
     n_grouped = groups.count()
 
     sizes = groups.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
@@ -199,7 +199,7 @@ def _join(rows: DataFrame) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"),
         F.count("*").alias("n_copies"), F.any_value("labels").alias("labels"),
     )
-    nodes = materialize(nodes.withColumn("short", F.xxhash64("node")), "join-nodes")
+    nodes = materialize(nodes.withColumn("short", F.xxhash64("node")), "join-nodes", rows.count())
     found = links(rows, nodes)
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("l")).agg(F.sum("n").alias("n_links"))
     classes = components(found.where("b IS NOT NULL").select("a", "b"))
@@ -229,13 +229,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     last; of the rows of one id any, but one)."""
     rows = keyed(docs, whole=True)
     since = mark()
-    classes = materialize(_join(rows).select("uid", "doc_id", "root"), "join-classes")
+    classes = materialize(_join(rows).select("uid", "doc_id", "root"), "join-classes", rows.count())
     settle(docs.sparkSession, since, classes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     several = classes.groupBy(F.col("root").alias("r")).agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    several = materialize(several.select("r", F.col("first.uid").alias("stays")), "join-kept")
+    several = materialize(several.select("r", F.col("first.uid").alias("stays")), "join-kept", classes.count())
     gone = classes.join(broadcast_if_small(several, several.count()), F.col("root") == F.col("r"))
-    gone = materialize(gone.where("uid <> stays").select(F.col("uid").alias("goes")), "join-gone")
+    gone = materialize(gone.where("uid <> stays").select(F.col("uid").alias("goes")), "join-gone", classes.count())
     settle(docs.sparkSession, since, gone)
     kept = rows.join(broadcast_if_small(gone, gone.count()), F.col("uid") == F.col("goes"), "left_anti")
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -207,7 +207,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     sizes = materialize(sizes, "mix-sizes")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     places = _mix(sizes).where("taken > 0").select(F.col("uid").alias("of"), F.explode(F.slice("slots", F.lit(1), copies)).alias("slot"))
-    places = materialize(places, "mix-places")
+    places = materialize(places, "mix-places", MOST_REPEATS * sizes.count())
     settle(docs.sparkSession, since, places)
     taken = whole.join(broadcast_if_small(places, places.count()), F.col("uid") == F.col("of"))
     ordered = taken.repartitionByRange("slot", "uid").sortWithinPartitions("slot", "uid")

@@ -106,24 +106,26 @@ def repeats(docs: DataFrame) -> DataFrame:
 def _repeats(docs: DataFrame) -> DataFrame:
     """``repeats`` of a table of ``_rows``, with the uid."""
     found = places(docs)
+    n_found = found.count()
     nodes = found.groupBy("node").agg(
         F.min(F.struct("doc_id", "line", "uid")).alias("first"),
         F.count("*").alias("n"),
         F.any_value("keys").alias("keys"),
     )
-    nodes = materialize(nodes.withColumn("short", F.xxhash64("node")), "paragraph-nodes")
+    nodes = materialize(nodes.withColumn("short", F.xxhash64("node")), "paragraph-nodes", n_found)
     # candidates go by a 64-bit hash of the node: one that two nodes share only adds a candidate
     keys = nodes.select("short", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most")
-    shared = materialize(shared.select(F.col("key").alias("k"), "least"), "paragraph-bands")
+    most = tuned_bands()[0] * n_found
+    shared = materialize(shared.select(F.col("key").alias("k"), "least"), "paragraph-bands", most // 2)
     shared = broadcast_if_small(shared, shared.count())
     candidates = keys.join(shared, F.col("key") == F.col("k")).select(F.col("short").alias("a"), F.col("least").alias("b"))
-    groups = components(candidates)
+    groups = components(candidates, most)
     n_grouped = groups.count()
 
     sizes = groups.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
     bins = max(1, n_grouped // BLOCK_NODES)
-    wanted = groups.withColumnRenamed("node", "g").join(sizes, F.col("root") == F.col("r"))
+    wanted = groups.withColumnRenamed("node", "g").join(broadcast_if_small(sizes, n_grouped), F.col("root") == F.col("r"))
     wanted = wanted.join(nodes, F.col("g") == F.col("short")).select(
         "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
         F.col("first.uid").alias("first_uid"), F.col("first.line").alias("line"),
@@ -200,9 +202,10 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     since = mark()
     found = whole.select("uid", "doc_id", F.explode(anchors("text", "__lines")).alias("a")).select("uid", "doc_id", "a.*")
     found = materialize(found, "passage-anchors")
+    most = found.count()
     shared = found.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
     # the first places are sought among the anchors that are shared alone
-    some = materialize(found.join(shared, F.col("h") == F.col("g")).drop("g"), "passage-shared")
+    some = materialize(found.join(shared, F.col("h") == F.col("g")).drop("g"), "passage-shared", most)
     settle(spark, since, some)
     first = some.groupBy(F.col("h").alias("g")).agg(F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
     wanted = some.join(first, F.col("h") == F.col("g")).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("pos", "h", "n", "first")).alias("at"))
@@ -228,7 +231,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     places = whole.join(wanted, F.col("uid") == F.col("u"))
     places = places.select("uid", "doc_id", "at", around("text", "__lines", F.transform("at", lambda a: a["pos"])).alias("context"))
     places = places.select("uid", "doc_id", F.explode(F.arrays_zip("at", "context")).alias("a"))
-    places = materialize(places.select("uid", "doc_id", "a.at.*", "a.context.*"), "passage-places")
+    places = materialize(places.select("uid", "doc_id", "a.at.*", "a.context.*"), "passage-places", most)
     settle(spark, since, places)
     is_first = (F.col("uid") == F.col("first.uid")) & (F.col("pos") == F.col("first.pos"))
     first = places.where(is_first).select(F.col("h").alias("g"), *[F.col(c).alias(f"f_{c}") for c in ("line", "before", "after", "above")])
@@ -260,7 +263,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     met = met.withColumn("e", extent("before", "f_before", "after", "f_after", "line", "above", "f_line", "f_above")).select(
         "uid", "doc_id", "pos", F.col("first.uid").alias("fu"), F.col("first.doc_id").alias("fd"), F.col("first.pos").alias("fp"), "n", "e.*"
     )
-    met = materialize(met, "passage-met")
+    met = materialize(met, "passage-met", most)
     settle(spark, since, met)
     met = met.where(F.col("b") + F.col("f") + ANCHOR_WORDS >= LEAST_WORDS)
     start, end = (lambda p: F.col(p) - F.col("b")), (lambda p: F.col(p) + ANCHOR_WORDS + F.col("f"))
@@ -280,7 +283,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     )
     merged = materialize(
         merged.select("uid", "doc_id", "kept", F.col("s.start"), "end", F.col("s.line"), F.col("s.first_doc_id"), F.col("s.first_line"), "n_places"),
-        "passage-runs",
+        "passage-runs", most,
     )
     settle(spark, since, merged)
     # the first place of one anchor may go for another anchor's sake: then it isn't kept
@@ -290,9 +293,10 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return merged.where(~F.col("kept")).unionByName(stays.drop("l", "spans"))
 
 
-def _gone(lines: DataFrame) -> DataFrame:
+def _gone(lines: DataFrame, rows: int) -> DataFrame:
+    """__uid, __lines: the lines that go, of ``rows`` rows at most."""
     gone = lines.where(~F.col("kept")).groupBy(F.col("uid").alias("__uid")).agg(F.collect_set("line").alias("__lines"))
-    gone = materialize(gone, "paragraph-gone")
+    gone = materialize(gone, "paragraph-gone", rows)
     return broadcast_if_small(gone, gone.count())
 
 
@@ -303,7 +307,7 @@ def all_repeats(docs: DataFrame) -> DataFrame:
     since = mark()
     lines = materialize(_repeats(rows), "paragraph-repeats")
     settle(docs.sparkSession, since, lines)
-    runs_ = passages(rows, _gone(lines)).withColumn("n_words", F.col("end") - F.col("start"))
+    runs_ = passages(rows, _gone(lines, rows.count())).withColumn("n_words", F.col("end") - F.col("start"))
     return lines.select(*COLUMNS).unionByName(runs_.select(*COLUMNS))
 
 
@@ -313,12 +317,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows = _rows(docs)
     since = mark()
-    gone = _gone(_repeats(rows))
+    gone = _gone(_repeats(rows), rows.count())
     settle(docs.sparkSession, since, gone)
     spans = passages(rows, gone).where(~F.col("kept")).groupBy(F.col("uid").alias("__of")).agg(
         F.collect_list(F.struct("start", "end")).alias("__spans")
     )
-    spans = materialize(spans, "passage-gone")
+    spans = materialize(spans, "passage-gone", rows.count())
     settle(docs.sparkSession, since, gone, spans)
 
     @F.pandas_udf("string")
