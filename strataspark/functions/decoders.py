@@ -26,6 +26,8 @@ from strataspark.functions import tables
 from strataspark.functions.conditions import Functions, Triple, condition_fields
 
 Subrecords = list[tuple[str, bytes]]
+#: The data of a record's subrecords, by name, in order.
+Held = dict[str, list[bytes]]
 Lookup = Callable[[int], "str | None"]
 
 # Layouts of the records' subrecords.
@@ -156,6 +158,13 @@ def text_of(data: bytes) -> str:
     return data.rstrip(b"\0").decode("utf-8", "replace")
 
 
+def held_by(subs: Subrecords) -> Held:
+    out: Held = {}
+    for name, data in subs:
+        out.setdefault(name, []).append(data)
+    return out
+
+
 def first(subs: Subrecords, name: str) -> bytes | None:
     return next((d for n, d in subs if n == name), None)
 
@@ -224,13 +233,16 @@ def _compiled(block: str):
     return name, mode, entry, least, [(field, reader(kind), at, needed) for field, kind, at, needed in values]
 
 
-def _block(block: str, subs: Subrecords) -> list[Triple]:
+def _block(block: str, held: Held) -> list[Triple]:
     name, mode, entry, least, values = _compiled(block)
+    own = held.get(name)
+    if own is None:
+        return []
     if mode == "*":
-        parts = [(i, d) for i, d in enumerate(d for n, d in subs if n == name) if len(d) >= least]
+        parts = [(i, d) for i, d in enumerate(own) if len(d) >= least]
     else:
-        data = first(subs, name)
-        if data is None or len(data) < least:
+        data = own[0]
+        if len(data) < least:
             return []
         if not entry:
             return [(f, *shown) for f, read, at, needed in values if len(data) >= needed and (shown := read(data, at)) is not None]
@@ -291,7 +303,7 @@ def _modification(subs: Subrecords, look_up: Lookup) -> list[Triple]:
     )
     for i in range(min(data[1], max(0, len(data) - 8) // 24)):
         own = [("DATA", data[8 + 24 * i : 32 + 24 * i])]
-        out += [(f"prop_{i}_{name}", value, kind) for name, value, kind in _block(f"DATA>=24 {entry}", own)]
+        out += [(f"prop_{i}_{name}", value, kind) for name, value, kind in _block(f"DATA>=24 {entry}", held_by(own))]
     return out
 
 
@@ -323,7 +335,7 @@ def _buttons(subs: Subrecords, look_up: Lookup) -> list[Triple]:
 
 
 def _weathers(subs: Subrecords, look_up: Lookup) -> list[Triple]:
-    found = _block("RDWT/12>=12 weather_{i}_id=id@0 weather_{i}_weight=u32@4", subs)
+    found = _block("RDWT/12>=12 weather_{i}_id=id@0 weather_{i}_weight=u32@4", held_by(subs))
     none = {name.removesuffix("_id") for name, value, _ in found if value == "0x00000000" and name.endswith("_id")}
     return [x for x in found if x[0].rpartition("_")[0] not in none]
 
@@ -353,12 +365,14 @@ SPECIAL: dict[str, Callable[[Subrecords, Lookup], list[Triple]]] = {
 def decode(record_type: str, subs: Subrecords, look_up: Lookup, functions: Functions) -> list[Triple]:
     """(field name, text, field type) of a record in order; of a name decoded twice
     the later value stays, at its later place."""
+    held = held_by(subs)
     out: list[Triple] = []
-    for block in [*SPECS.get(record_type, []), *UNIVERSAL]:
-        out += SPECIAL[block[1:-1]](subs, look_up) if block[0] == "[" else _block(block, subs)
-    out += condition_fields(subs, functions)
+    for block in [*SPECS.get(record_type, ()), *UNIVERSAL]:
+        out += SPECIAL[block[1:-1]](subs, look_up) if block[0] == "[" else _block(block, held)
+    if "CTDA" in held:
+        out += condition_fields(subs, functions)
     last = {name: k for k, (name, _, _) in enumerate(out)}
-    return [x for k, x in enumerate(out) if last[x[0]] == k]
+    return out if len(last) == len(out) else [x for k, x in enumerate(out) if last[x[0]] == k]
 
 
 #: Where string ids stand that decoding looks up: (record type, subrecord).

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from datetime import datetime
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.conditions import Functions
 from strataspark.functions.decoders import decode, string_ids
-from strataspark.model import EAV
 from strataspark.operators.lookups import localized, upsert
 from strataspark.sources import binary
 from strataspark.sources.recfile import read_records
@@ -60,7 +61,7 @@ def project(raw: DataFrame) -> DataFrame:
 
 
 def decoded(raw: DataFrame, strings: DataFrame, functions: Functions | None = None) -> DataFrame:
-    """form_id, ordinal, field_name, field_value, field_type of all records.
+    """record, form_id, ordinal, field_name, field_value, field_type of all records.
 
     The string ids that decoding needs are found first and joined as a map, so no
     string table has to fit a task.
@@ -80,24 +81,34 @@ def decoded(raw: DataFrame, strings: DataFrame, functions: Functions | None = No
     )
     rows = names.join(looked_up, F.col("ordinal") == F.col("o"), "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for kind, subs, own in zip(batch["record_type"], batch["subrecords"], batch["texts"], strict=True):
-                look_up = dict(own) if own is not None else {}
-                found = decode(kind, _pairs(subs), look_up.get, known)
-                out.append([{"name": n, "value": v, "type": t} for n, v, t in found])
-            yield pd.DataFrame({"ordinal": batch["ordinal"], "form_id": batch["form_id"], "fields": pd.Series(out, dtype=object)})
-
-    made = rows.select("ordinal", "form_id", "record_type", "subrecords", "texts").mapInPandas(
-        run, f"ordinal long, form_id long, fields {EAV}"
-    )
-    return made.select(
-        F.col("ordinal").alias("record"), "form_id", F.posexplode("fields").alias("ordinal", "f")
-    ).select(
-        "record", "form_id", "ordinal", F.col("f.name").alias("field_name"), F.col("f.value").alias("field_value"),
-        F.col("f.type").alias("field_type"),
-    )
+            subs = batch["subrecords"]
+            ends, parts = subs.offsets.to_pylist(), subs.values
+            sub_names, sub_data = parts.field("type").to_pylist(), parts.field("data").to_pylist()
+            keys, form_ids, kinds, texts = (batch[c].to_pylist() for c in ("ordinal", "form_id", "record_type", "texts"))
+            n, names, values, types = [], [], [], []
+            for k, (kind, own) in enumerate(zip(kinds, texts, strict=True)):
+                pairs = list(zip(sub_names[ends[k] : ends[k + 1]], sub_data[ends[k] : ends[k + 1]], strict=True))
+                found = decode(kind, pairs, dict(own or ()).get, known)
+                n.append(len(found))
+                for name, value, field_type in found:
+                    names.append(name)
+                    values.append(value)
+                    types.append(field_type)
+            times = np.array(n, dtype=np.int64)
+            place = np.arange(len(names)) - np.repeat(np.cumsum(times) - times, times)
+            columns = [
+                np.repeat(np.array(keys, dtype=np.int64), times), np.repeat(np.array(form_ids, dtype=np.int64), times), place.astype(np.int32),
+            ]
+            text = [pa.array(x, type=pa.string()) for x in (names, values, types)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *text], [x.split()[0] for x in DECODED.split(", ")])
+
+    return rows.select("ordinal", "form_id", "record_type", "subrecords", "texts").mapInArrow(run, DECODED)
+
+
+#: Rows of ``decoded``; record is the ordinal of the field's record.
+DECODED = "record long, form_id long, ordinal int, field_name string, field_value string, field_type string"
 
 
 def _pairs(subs) -> list[tuple[str, bytes]]:

@@ -15,7 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -26,6 +29,29 @@ from strataspark.sources import binary
 TARGET_BYTES = 32 << 20
 
 
+#: Records of an Arrow batch.
+BATCH_RECORDS = 2048
+
+
+def _batch(found: list[binary.RawRecord]) -> pa.RecordBatch:
+    subs = [s for r in found for s in r.subrecords]
+    parts = pa.StructArray.from_arrays(
+        [
+            pa.array([name for name, _ in subs], type=pa.string()), pa.array([len(d) for _, d in subs], type=pa.int32()),
+            pa.array([d for _, d in subs], type=pa.binary()),
+        ],
+        names=["type", "size", "data"],
+    )
+    ends = np.cumsum([0, *(len(r.subrecords) for r in found)]).astype(np.int32)
+    number = lambda name, kind: pa.array([getattr(r, name) for r in found], type=kind)
+    columns = [
+        number("at", pa.int64()), pa.array([r.kind for r in found], type=pa.string()),
+        *(number(c, pa.int64()) for c in ("data_size", "flags", "form_id", "revision")), number("version", pa.int32()),
+        pa.ListArray.from_arrays(pa.array(ends), parts),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["ordinal", "record_type", "data_size", "flags", "form_id", "revision", "version", "subrecords"])
+
+
 @dataclass
 class Range(InputPartition):
     start: int
@@ -58,13 +84,13 @@ class RecordFileReader(DataSourceReader):
         with binary.open_any(self.path) as f:
             return [Range(a, b) for a, b in binary.plan_ranges(f, self.skipped, self.target, self.wanted)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         with binary.open_any(self.path) as f:
             f.seek(partition.start)
             data = f.read(partition.end - partition.start)
-        for r in binary.records_in(data, partition.start, self.skipped, self.wanted):
-            subs = [(name, len(d), d) for name, d in r.subrecords]
-            yield (r.at, r.kind, r.data_size, r.flags, r.form_id, r.revision, r.version, subs)
+        found = binary.records_in(data, partition.start, self.skipped, self.wanted)
+        while some := list(islice(found, BATCH_RECORDS)):
+            yield _batch(some)
 
 
 class PushingReader(RecordFileReader):
