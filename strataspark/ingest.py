@@ -25,11 +25,10 @@ HASHED_BYTES = 1 << 20
 
 def content_hash(subrecords: Column) -> Column:
     """SHA-256 of the subrecords in order: name, size as two bytes, data."""
-    as_hex = lambda s: F.concat(
-        F.hex(s["type"].cast("binary")), F.substring(F.format_string("%04X", s["size"]), 3, 2),
-        F.substring(F.format_string("%04X", s["size"]), 1, 2), F.hex(s["data"]),
-    )
-    return F.sha2(F.unhex(F.array_join(F.transform(subrecords, as_hex), "")), 256)
+    # strings hold any bytes, so the parts are joined as they are
+    size = lambda s: F.unhex(F.concat(F.right(F.format_string("%04X", s["size"]), F.lit(2)), F.left(F.format_string("%04X", s["size"]), F.lit(2))))
+    part = lambda s: F.concat(s["type"], size(s).cast("string"), s["data"].cast("string"))
+    return F.sha2(F.array_join(F.transform(subrecords, part), "").cast("binary"), 256)
 
 
 def first_data(subrecords: Column, name: str, size: int | None = None) -> Column:

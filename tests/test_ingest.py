@@ -199,3 +199,14 @@ def test_retention(spark, tmp_path):
     assert store.purge(2) == 1 and store.records(1).count() == 0 and store.records(2).count() == 7
     assert ing.ingest(spark, store, path, none) == 4
     assert store.clear() == 3 and store.snapshots.count() == 0
+
+
+def test_content_hash_takes_any_bytes(spark):
+    from hashlib import sha256
+
+    from strataspark.ingest import content_hash
+    from strataspark.model import SUBRECORD
+
+    rows = [(1, [("DATA", 256, bytes(range(256))), ("FULL", 3, b"\xff\xfe\x00"), ("EDID", 0, b"")]), (2, []), (3, [("BIG_", 65_535, b"\x80" * 65_535)])]
+    got = {r["k"]: r["h"] for r in spark.createDataFrame(rows, f"k int, s array<{SUBRECORD}>").select("k", content_hash(F.col("s")).alias("h")).collect()}
+    assert got == {k: sha256(b"".join(n.encode() + len(d).to_bytes(2, "little") + d for n, _, d in subs)).hexdigest() for k, subs in rows}
