@@ -60,7 +60,8 @@ class Commands:
 
     def __init__(self, args: argparse.Namespace, spark=None, say=print, ask=input) -> None:
         self.args, self.say, self.ask = args, say, ask
-        self.config = profiles.load_config()
+        self.settings = profiles.home() / "config.toml"
+        self.profiles = profiles.Profiles.read(self.settings)
         self._spark = spark
 
     @property
@@ -73,12 +74,12 @@ class Commands:
 
     @property
     def file(self) -> Path:
-        return profiles.resolve_file(self.config, self.args.file, self.args.profile)
+        return self.profiles.choose(self.args.file, self.args.profile)
 
     def store_of(self, file: Path):
         from strataspark.store import SnapshotStore
 
-        root = profiles.config_path().parent / "stores" / profiles.name_for(self.config, file)
+        root = profiles.home() / "stores" / self.profiles.label(file)
         return SnapshotStore(self.spark, str(root))
 
     @property
@@ -108,8 +109,8 @@ class Commands:
 
         if not (self.args.icons and self.args.output and items):
             return False
-        archive = profiles.icon_archive(self.file) if self.args.file or self.args.profile or self.config.default_profile else None
-        if archive is not None:
+        known = self.args.file or self.args.profile or self.profiles.default
+        for archive in profiles.companions(self.file, "icons") if known else []:
             ids = self.spark.createDataFrame([(x.form_id,) for x in items], "form_id long").distinct()
             entries = list_archive(self.spark, str(archive), strict=False)
             paths = {r["form_id"]: r["path"] for r in extract_icons(ids, entries, str(Path(self.args.output).parent)).collect()}
@@ -121,19 +122,20 @@ class Commands:
 
     def init(self) -> None:
         while name := self.ask("Profile name (empty to end): ").strip():
-            if not profiles.valid_name(name):
+            if not self.profiles.may_be_called(name):
                 self.say("Names have letters, digits, _ and - only.")
                 continue
             file = Path(self.ask("Record file: ").strip())
             if not file.exists():
                 self.say(f"Not found: {file}")
                 continue
-            self.config.profiles[name] = file
-        if self.config.profiles:
-            names = ", ".join(self.config.profiles)
+            self.profiles.files[name] = file
+        if self.profiles.files:
+            names = ", ".join(self.profiles.files)
             chosen = self.ask(f"Default profile ({names}): ").strip()
-            self.config.default_profile = chosen if chosen in self.config.profiles else next(iter(self.config.profiles))
-            self.say(f"Saved {profiles.save_config(self.config)}")
+            self.profiles.default = chosen if chosen in self.profiles.files else next(iter(self.profiles.files))
+            self.profiles.write(self.settings)
+            self.say(f"Saved {self.settings}")
 
     def snapshot(self) -> None:
         from strataspark.functions.conditions import load_functions
@@ -141,7 +143,7 @@ class Commands:
         from strataspark.sources.archives import read_strings
 
         functions = load_functions(self.args.functions.open()) if self.args.functions else {}
-        strings = read_strings(self.spark, str(profiles.localization(self.file)), self.file.stem)
+        strings = read_strings(self.spark, str(profiles.strings_archive(self.file)), self.file.stem)
         made = ingest(self.spark, self.store, str(self.file), strings, self.args.label, self.args.full, functions)
         row = self.store.snapshots.where(f"id = {made}").first()
         self.say(f"Snapshot #{made}: {row['label']}, {row['record_count']:,} records, {row['string_count']:,} strings.")
@@ -168,7 +170,7 @@ class Commands:
             raise UsageError("--vs and --other-file exclude each other.")
         old_store = new_store = self.store
         if a.vs or a.other_file:
-            new_store = self.store_of(profiles.profile_file(self.config, a.vs) if a.vs else a.other_file)
+            new_store = self.store_of(self.profiles.choose(name=a.vs) if a.vs else a.other_file)
             old_id, new_id = a.old or old_store.latest_id(), a.new or new_store.latest_id()
         elif a.latest or (a.old is None and a.new is None):
             old_id, new_id = old_store.two_latest()
@@ -311,13 +313,13 @@ class Commands:
         from strataspark.sources.media import extract_sounds
 
         a = self.args
-        self._media(profiles.sound_archives(self.file), AUDIO, lambda e: extract_sounds(e, a.output, a.filter, not a.raw))
+        self._media(profiles.companions(self.file, "sounds"), AUDIO, lambda e: extract_sounds(e, a.output, a.filter, not a.raw))
 
     def scripts(self) -> None:
         from strataspark.sources.archives import SCRIPTS
         from strataspark.sources.media import extract_scripts
 
-        self._media(profiles.script_archives(self.file), SCRIPTS, lambda e: extract_scripts(e, self.args.output, self.args.filter))
+        self._media(profiles.companions(self.file, "scripts"), SCRIPTS, lambda e: extract_scripts(e, self.args.output, self.args.filter))
 
     def seq(self) -> None:
         from strataspark.reports.build import sequence_lines

@@ -1,4 +1,4 @@
-"""Profiles: names for record files, kept in a TOML file; paths of their companions."""
+"""Named record files of a user, and the archives that go with a record file."""
 
 from __future__ import annotations
 
@@ -9,119 +9,90 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 APP = "strataspark"
-NAME = re.compile(r"[a-zA-Z0-9_-]+")
 
 
 class UsageError(Exception):
     """Something the user can set right."""
 
 
-@dataclass
-class Config:
-    default_profile: str | None = None
-    profiles: dict[str, Path] = field(default_factory=dict)
-
-
-def config_path() -> Path:
-    base = os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config"
-    return Path(base) / APP / "config.toml"
-
-
-def load_config(path: Path | None = None) -> Config:
-    """The profiles; none if there is no file."""
-    path = path or config_path()
-    if not path.exists():
-        return Config()
-    data = tomllib.loads(path.read_text(encoding="utf-8"))
-    return Config(data.get("default_profile"), {n: Path(p["file"]) for n, p in data.get("profiles", {}).items()})
-
-
-def save_config(config: Config, path: Path | None = None) -> Path:
-    """Write the profiles; paths as literal strings, so that backslashes stay."""
-    path = path or config_path()
-    path.parent.mkdir(parents=True, exist_ok=True)
-    lines = [f'default_profile = "{config.default_profile}"'] if config.default_profile else []
-    for name, file in config.profiles.items():
-        lines += ["", f"[profiles.{name}]", f"file = '{file}'"]
-    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
-    return path
-
-
-def valid_name(name: str) -> bool:
-    return NAME.fullmatch(name) is not None
-
+def home() -> Path:
+    """Folder of the profiles and of the stores of record files."""
+    return Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config") / APP
 
-def profile_file(config: Config, name: str) -> Path:
-    if name not in config.profiles:
-        raise UsageError(f"Profile '{name}' not found. Available profiles: {', '.join(config.profiles) or '(none)'}")
-    file = config.profiles[name]
-    if not file.exists():
-        raise UsageError(f"Record file not found for profile '{name}': {file}\nRun 'init' to update the path.")
-    return file
 
-
-def resolve_file(config: Config, file: Path | None, profile: str | None) -> Path:
-    """An explicit file, else the named profile's, else the default profile's."""
-    if file is not None:
+@dataclass
+class Profiles:
+    """Record files by profile name, kept as a TOML file.
+
+    ``default`` names the one that is meant where the user names none.
+    """
+
+    files: dict[str, Path] = field(default_factory=dict)
+    default: str | None = None
+
+    @staticmethod
+    def may_be_called(name: str) -> bool:
+        """Whether a name can stand as a bare TOML key."""
+        return re.fullmatch(r"[a-zA-Z0-9_-]+", name) is not None
+
+    @classmethod
+    def read(cls, path: Path) -> Profiles:
+        """The stored profiles; none where there is no file."""
+        stored = tomllib.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
+        tables = stored.get("profiles", {})
+        return cls({name: Path(tables[name]["file"]) for name in tables}, stored.get("default_profile"))
+
+    def write(self, path: Path) -> None:
+        """Store the profiles; single quotes keep the backslashes of paths as they are."""
+        tables = [f"[profiles.{name}]\nfile = '{file}'\n" for name, file in self.files.items()]
+        head = [f'default_profile = "{self.default}"\n'] if self.default else []
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("\n".join(head + tables), encoding="utf-8")
+
+    def choose(self, file: Path | None = None, name: str | None = None) -> Path:
+        """The file itself if one is given, else that of the named or of the default profile; it must exist."""
+        if file is None:
+            wanted = name or self.default
+            if wanted is None:
+                raise UsageError("Which record file? Name one with --file, a profile with --profile, or set up a default with 'init'.")
+            if wanted not in self.files:
+                known = ", ".join(sorted(self.files)) or "none so far"
+                raise UsageError(f"There is no profile {wanted!r} (known: {known}).")
+            file = self.files[wanted]
         if not file.exists():
-            raise UsageError(f"Record file not found: {file}")
+            raise UsageError(f"There is no record file at {file}." + ("" if name is None else f" Set profile {name!r} anew with 'init'."))
         return file
-    name = profile or config.default_profile
-    if name is None:
-        raise UsageError("No record file. Run 'init' to set up a profile, or pass --file or --profile.")
-    return profile_file(config, name)
-
-
-def name_for(config: Config, file: Path) -> str:
-    """The profile of a file, else the file's name in lower case."""
-    for name, own in config.profiles.items():
-        if own.resolve() == file.resolve():
-            return name
-    return file.stem.lower()
-
-
-# Companions stand beside the record file, under its name.
-
-
-def companion(file: Path, what: str) -> Path:
-    return file.parent / f"{file.stem} - {what}.ba2"
-
-
-def _numbered(file: Path, what: str) -> list[Path]:
-    return [p for i in range(1, 11) if (p := companion(file, f"{what}{i:02d}")).exists()]
-
-
-def _updates(file: Path) -> list[Path]:
-    return sorted(file.parent.glob(f"{file.stem} - *UpdateMain*.ba2"))
-
-
-def localization(file: Path) -> Path:
-    return companion(file, "Localization")
-
-
-def icon_archive(file: Path) -> Path | None:
-    return p if (p := companion(file, "WorkshopIcons")).exists() else None
-
-
-def sound_archives(file: Path) -> list[Path]:
-    return _numbered(file, "Sounds")
-
-
-def texture_archives(file: Path) -> list[Path]:
-    return _numbered(file, "Textures")
-
-
-def _named(file: Path, *names: str) -> list[Path]:
-    return [p for n in names if (p := companion(file, n)).exists()] + _updates(file)
-
-
-def script_archives(file: Path) -> list[Path]:
-    return _named(file, "MiscClient", "Startup")
-
-
-def mesh_archives(file: Path) -> list[Path]:
-    return _named(file, "Meshes", "MeshesExtra")
-
 
-def material_archives(file: Path) -> list[Path]:
-    return _named(file, "Materials")
+    def label(self, file: Path) -> str:
+        """What the file's store is called: its profile, else its own name in lower case."""
+        same = [name for name, own in self.files.items() if own.resolve() == file.resolve()]
+        return same[0] if same else file.stem.lower()
+
+
+#: Archives beside a record file, by what they hold: names behind the record file's own. ``#`` is
+#: a number from 01 to 10; ``*`` stands for any text.
+COMPANIONS = {
+    "strings": ["Localization"],
+    "icons": ["WorkshopIcons"],
+    "sounds": ["Sounds#"],
+    "textures": ["Textures#"],
+    "scripts": ["MiscClient", "Startup", "*UpdateMain*"],
+    "meshes": ["Meshes", "MeshesExtra", "*UpdateMain*"],
+    "materials": ["Materials", "*UpdateMain*"],
+}
+
+
+def companions(file: Path, holding: str) -> list[Path]:
+    """The archives of a kind that are there, in the order of the table, then of their names."""
+    found: list[Path] = []
+    for name in COMPANIONS[holding]:
+        numbers = [f"{i:02d}" for i in range(1, 11)] if "#" in name else [""]
+        for number in numbers:
+            archive = f"{file.stem} - {name.replace('#', number)}.ba2"
+            found += sorted(file.parent.glob(archive)) if "*" in name else [p for p in [file.parent / archive] if p.exists()]
+    return found
+
+
+def strings_archive(file: Path) -> Path:
+    """Where the string tables of a record file are, or would be."""
+    return file.parent / f"{file.stem} - {COMPANIONS['strings'][0]}.ba2"

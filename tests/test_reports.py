@@ -103,7 +103,7 @@ def test_commands(spark, game, tmp_path, monkeypatch):
         assert cli.main(list(args), spark, said.append, lambda _: answers.pop(0)) == code, said
         return "\n".join(said)
 
-    assert "No record file" in run("list", code=2)
+    assert "Which record file?" in run("list", code=2)
     answers[:] = ["bad name", "main", str(folder / "World.esm"), "", "main"]
     assert "Saved" in run("init")
     assert "No snapshots found." in run("list", code=2)
@@ -144,20 +144,31 @@ def test_commands(spark, game, tmp_path, monkeypatch):
 
 
 def test_profiles(tmp_path):
-    path = tmp_path / "c.toml"
+    path = tmp_path / "below" / "c.toml"
     file = tmp_path / "a\\b.esm"
-    config = profiles.Config("one", {"one": file, "two": tmp_path / "x"})
-    profiles.save_config(config, path)
-    assert profiles.load_config(path) == config and profiles.load_config(tmp_path / "none") == profiles.Config()
+    own = profiles.Profiles({"one": file, "two": tmp_path / "x"}, "one")
+    own.write(path)
+    assert profiles.Profiles.read(path) == own and profiles.Profiles.read(tmp_path / "none") == profiles.Profiles()
+    for missing in ({}, {"name": "two"}, {"name": "none"}, {"file": tmp_path / "y"}):
+        with pytest.raises(profiles.UsageError):
+            own.choose(**missing)
     with pytest.raises(profiles.UsageError):
-        profiles.resolve_file(config, None, None)
+        profiles.Profiles().choose()
     file.write_bytes(b"")
-    assert profiles.resolve_file(config, None, None) == file and profiles.name_for(config, file) == "one"
-    assert profiles.name_for(config, tmp_path / "Other.esm") == "other"
-    for bad in ("none", "two"):
-        with pytest.raises(profiles.UsageError):
-            profiles.profile_file(config, bad)
-    assert profiles.valid_name("a-B_1") and not profiles.valid_name("a b") and not profiles.valid_name("")
+    assert own.choose() == own.choose(name="one") == own.choose(file, "none") == file and own.label(file) == "one"
+    assert own.label(tmp_path / "Other.esm") == "other"
+    assert own.may_be_called("a-B_1") and not own.may_be_called("a b") and not own.may_be_called("")
+
+
+def test_companions_beside_a_record_file(tmp_path):
+    file = tmp_path / "World.esm"
+    for name in ("Sounds02", "Sounds10", "Sounds11", "Startup", "B UpdateMain", "00UpdateMain1", "Meshes", "WorkshopIcons"):
+        (tmp_path / f"World - {name}.ba2").write_bytes(b"")
+    (tmp_path / "Other - Sounds01.ba2").write_bytes(b"")
+    names = lambda holding: [p.stem.removeprefix("World - ") for p in profiles.companions(file, holding)]
+    assert names("sounds") == ["Sounds02", "Sounds10"] and names("textures") == [] and names("icons") == ["WorkshopIcons"]
+    assert names("scripts") == ["Startup", "00UpdateMain1", "B UpdateMain"] and names("meshes") == ["Meshes", "00UpdateMain1", "B UpdateMain"]
+    assert names("strings") == [] and profiles.strings_archive(file).name == "World - Localization.ba2"
 
 
 def test_streaming_landing(spark, game, tmp_path):
