@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterable
 from pathlib import Path
 
 from strataspark import profiles
@@ -94,13 +95,14 @@ class Commands:
             raise UsageError("No snapshots found.")
         return found
 
-    def put(self, text: str, what: str) -> None:
-        """Write a report to the named file, else show it."""
+    def put(self, text: str | Iterable[str], what: str) -> None:
+        """Write a report, whole or in parts, to the named file, else show it."""
         if self.args.output:
-            Path(self.args.output).write_text(text, encoding="utf-8")
+            with Path(self.args.output).open("w", encoding="utf-8") as f:
+                f.writelines([text] if isinstance(text, str) else text)
             self.say(f"{what} written to {self.args.output}")
         else:
-            self.say(text)
+            self.say(text if isinstance(text, str) else "".join(text))
 
     def give_icons(self, items: list) -> bool:
         """Extract the items' icons beside the written report; whether that was asked for."""
@@ -273,9 +275,9 @@ class Commands:
         own, kind = self.snapshot_id(), self.args.type
         records, fields = self.store.records(own), self.store.fields(own)
         if self.args.format == "csv":
-            text = export.csv_text(records, kind)
+            text = export.csv_parts(records, kind)
         elif self.args.format == "json":
-            text = export.json_text(records, fields, kind)
+            text = export.json_parts(records, fields, kind)
         else:
             rows = records.where(F.col("record_type") == kind) if kind else records
             total, rows = rows.count(), rows.orderBy("record_type", "form_id")

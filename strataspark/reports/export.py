@@ -5,6 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+from collections.abc import Iterator
+from itertools import chain
+from textwrap import indent
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,16 +58,17 @@ def write_csv(records: DataFrame, path: str, record_type: str | None = None) ->
     ordered.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
-def csv_text(records: DataFrame, record_type: str | None = None) -> str:
-    """The CSV as one text, streamed through the driver row by row."""
+def csv_parts(records: DataFrame, record_type: str | None = None) -> Iterator[str]:
+    """The CSV line by line, in order of type and id, as the rows reach the driver."""
     rows = records.where(F.col("record_type") == record_type) if record_type else records
     rows = (typed_rows if record_type else all_rows)(rows.orderBy("record_type", "form_id"))
-    out = io.StringIO()
-    writer = csv.writer(out)
-    writer.writerow(CSV_COLUMNS)
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        writer.writerow(list(r))
-    return out.getvalue()
+    line = io.StringIO()
+    writer = csv.writer(line)
+    for row in chain([CSV_COLUMNS], rows.toLocalIterator(prefetchPartitions=True)):
+        writer.writerow(row)
+        yield line.getvalue()
+        line.seek(0)
+        line.truncate()
 
 
 def json_rows(records: DataFrame, fields: DataFrame) -> DataFrame:
@@ -78,12 +82,12 @@ def json_rows(records: DataFrame, fields: DataFrame) -> DataFrame:
     )
 
 
-def json_text(records: DataFrame, fields: DataFrame, record_type: str | None = None) -> str:
-    """All records with their fields as one JSON text."""
+def json_parts(records: DataFrame, fields: DataFrame, record_type: str | None = None) -> Iterator[str]:
+    """All records with their fields as one JSON array, record by record."""
     rows = json_rows(records, fields)
     if record_type:
         rows = rows.where(F.col("record_type") == record_type)
-    data = []
+    before = "[\n"
     for r in rows.orderBy("record_type", "form_id").toLocalIterator(prefetchPartitions=True):
         entry = {
             "form_id": f"0x{r['form_id']:08X}", "record_type": r["record_type"], "editor_id": r["editor_id"],
@@ -91,5 +95,6 @@ def json_text(records: DataFrame, fields: DataFrame, record_type: str | None = N
         }
         if r["fields"]:
             entry["fields"] = {f["field_name"]: f["display"] for f in r["fields"]}
-        data.append(entry)
-    return json.dumps(data, indent=2)
+        yield before + indent(json.dumps(entry, indent=2), "  ")
+        before = ",\n"
+    yield "[]" if before == "[\n" else "\n]"

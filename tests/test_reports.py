@@ -189,7 +189,7 @@ def test_streaming_landing(spark, game, tmp_path):
 
 
 def test_csv_files(spark, tmp_path):
-    from strataspark.reports.export import csv_text, write_csv
+    from strataspark.reports.export import csv_parts, write_csv
 
     rows = spark.createDataFrame(
         [(2, "MISC", 'say "a", b', None, None, 5, 7, "h"), (1, "ARMO", "e", "n", "d\nx", 1, 2, "g")],
@@ -197,4 +197,21 @@ def test_csv_files(spark, tmp_path):
     )
     write_csv(rows, str(tmp_path / "out"))
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*.txt")))
-    assert text == csv_text(rows) and '"d\nx"' in text and '0x00000002,MISC,"say ""a"", b",,,5,7,h\r\n' in text
+    assert text == "".join(csv_parts(rows)) and '"d\nx"' in text and '0x00000002,MISC,"say ""a"", b",,,5,7,h\r\n' in text
+
+
+def test_json_parts_are_one_array(spark):
+    import json
+
+    from strataspark.reports.export import json_parts
+
+    rows = spark.createDataFrame(
+        [(2, "MISC", 'say "a"', None, 5, 7), (1, "ARMO", None, "é\nn", 1, 2)],
+        "form_id long, record_type string, editor_id string, full_name string, flags long, data_size long",
+    )
+    fields = spark.createDataFrame([(2, 0, "value", "3", "int"), (2, 1, "ref", "0x00000001", "formid")], "form_id long, ordinal int, field_name string, field_value string, field_type string")
+    text = "".join(json_parts(rows, fields))
+    data = json.loads(text)
+    assert text == json.dumps(data, indent=2) and [x["form_id"] for x in data] == ["0x00000001", "0x00000002"]
+    assert data[1]["fields"] == {"value": "3", "ref": "0x00000001 (é\nn)"} and "fields" not in data[0]
+    assert "".join(json_parts(rows.limit(0), fields)) == "[]" and len(list(json_parts(rows, fields))) == 3
