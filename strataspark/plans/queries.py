@@ -13,7 +13,7 @@ from strataspark.functions.tables import TYPE_NAMES
 from strataspark.functions.text import display_name, hex_id, parse_hex, present, shortened, type_name
 from strataspark.ingest import decoded
 from strataspark.operators import diff, lookups, refs, search, tree, unreleased
-from strataspark.plans import files, roundtrip, views
+from strataspark.plans import files, roundtrip, stores, views
 from strataspark.plans.views import read, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,3 +427,13 @@ for _name in (
 ):
     QUERIES[_name] = getattr(files, _name)
     ORACLE_SQL[_name] = with_views(getattr(files, _name.upper()))
+for _name in (
+    "store_snapshots", "store_tables", "store_keywords", "record_projection", "subrecord_stats", "raw_subrecords", "string_counts", "export_csv",
+    "export_json", "voice_files", "script_files", "material_files", "icon_entries",
+):
+    QUERIES[_name] = getattr(stores, _name)
+    ORACLE_SQL[_name] = with_views(getattr(stores, _name.upper()))
+QUERIES["store_diff"] = stores.store_diff
+ORACLE_SQL["store_diff"] = with_views(CHANGES + """ SELECT form_id, change_type, record_type, old_hash, new_hash,
+    (SELECT count(*) FROM changes WHERE change_type = 'added') AS added_count, (SELECT count(*) FROM changes WHERE change_type = 'removed') AS removed_count,
+    (SELECT count(*) FROM changes WHERE change_type = 'modified') AS modified_count FROM changes""")
