@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import mark, materialize, settle
+from strataspark.llm.common import BROADCAST_ROWS, broadcast_if_small, mark, materialize, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -34,7 +34,9 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        if rows > BROADCAST_ROWS:  # written, so that a node of very many edges can be split among tasks
+            least = materialize(least, "edges-least", rows)
+        large = both.join(broadcast_if_small(least, rows), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))

@@ -208,7 +208,9 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     some = materialize(found.join(shared, F.col("h") == F.col("g")).drop("g"), "passage-shared", most)
     settle(spark, since, some)
     first = some.groupBy(F.col("h").alias("g")).agg(F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
-    wanted = some.join(first, F.col("h") == F.col("g")).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("pos", "h", "n", "first")).alias("at"))
+    # written, so that a very common anchor's rows can be split among tasks in the join
+    first = materialize(first, "passage-first", most)
+    wanted = some.join(broadcast_if_small(first, first.count()), F.col("h") == F.col("g")).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("pos", "h", "n", "first")).alias("at"))
 
     @F.pandas_udf("array<struct<line: int, before: binary, after: binary, above: binary>>")
     def around(texts: pd.Series, lines: pd.Series, places: pd.Series) -> pd.Series:
@@ -231,7 +233,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     places = whole.join(wanted, F.col("uid") == F.col("u"))
     places = places.select("uid", "doc_id", "at", around("text", "__lines", F.transform("at", lambda a: a["pos"])).alias("context"))
     places = places.select("uid", "doc_id", F.explode(F.arrays_zip("at", "context")).alias("a"))
-    places = materialize(places.select("uid", "doc_id", "a.at.*", "a.context.*"), "passage-places", most)
+    places = materialize(places.select("uid", "doc_id", "a.at.*", "a.context.*"), "passage-places")
     settle(spark, since, places)
     is_first = (F.col("uid") == F.col("first.uid")) & (F.col("pos") == F.col("first.pos"))
     first = places.where(is_first).select(F.col("h").alias("g"), *[F.col(c).alias(f"f_{c}") for c in ("line", "before", "after", "above")])
@@ -293,10 +295,10 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return merged.where(~F.col("kept")).unionByName(stays.drop("l", "spans"))
 
 
-def _gone(lines: DataFrame, rows: int) -> DataFrame:
-    """__uid, __lines: the lines that go, of ``rows`` rows at most."""
+def _gone(lines: DataFrame) -> DataFrame:
+    """__uid, __lines: the lines that go."""
     gone = lines.where(~F.col("kept")).groupBy(F.col("uid").alias("__uid")).agg(F.collect_set("line").alias("__lines"))
-    gone = materialize(gone, "paragraph-gone", rows)
+    gone = materialize(gone, "paragraph-gone")
     return broadcast_if_small(gone, gone.count())
 
 
@@ -307,7 +309,7 @@ def all_repeats(docs: DataFrame) -> DataFrame:
     since = mark()
     lines = materialize(_repeats(rows), "paragraph-repeats")
     settle(docs.sparkSession, since, lines)
-    runs_ = passages(rows, _gone(lines, rows.count())).withColumn("n_words", F.col("end") - F.col("start"))
+    runs_ = passages(rows, _gone(lines)).withColumn("n_words", F.col("end") - F.col("start"))
     return lines.select(*COLUMNS).unionByName(runs_.select(*COLUMNS))
 
 
@@ -317,12 +319,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows = _rows(docs)
     since = mark()
-    gone = _gone(_repeats(rows), rows.count())
+    gone = _gone(_repeats(rows))
     settle(docs.sparkSession, since, gone)
     spans = passages(rows, gone).where(~F.col("kept")).groupBy(F.col("uid").alias("__of")).agg(
         F.collect_list(F.struct("start", "end")).alias("__spans")
     )
-    spans = materialize(spans, "passage-gone", rows.count())
+    spans = materialize(spans, "passage-gone")
     settle(docs.sparkSession, since, gone, spans)
 
     @F.pandas_udf("string")
