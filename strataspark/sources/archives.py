@@ -1,19 +1,22 @@
 """Archives, string tables and single-file formats as DataFrames.
 
-Archive listings are small and come from the driver; contents are read by the
-tasks, each opening the archive at its own entries.
+Listings and contents of archives are read by the tasks, each opening the
+archive at its own entries.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strataspark.functions.text import ascii_lower, hex_id
 from strataspark.operators.lookups import upsert
@@ -29,17 +32,41 @@ AUDIO, SCRIPTS = (".fuz", ".xwm", ".wav"), (".pex",)
 
 
 def list_archive(spark: SparkSession, *paths: str, strict: bool = True) -> DataFrame:
-    """Entries of archives in order; with ``strict`` off unreadable archives are left out."""
-    rows = []
+    """Entries of archives in order; with ``strict`` off unreadable archives are left out.
+
+    The driver looks at the archives' heads alone; each listing is read by a task.
+    """
+    there = []
     for path in paths:
         try:
             with binary.open_any(path) as f:
-                for i, e in enumerate(binary.archive_entries(f)):
-                    rows.append((path, i, e.name, e.offset, e.packed_size, e.unpacked_size, e.height, e.width, e.mips, e.format, e.tile, e.chunks))
-        except (ValueError, OSError, EOFError):
+                binary.archive_head(f)
+            there.append((path,))
+        except (ValueError, OSError):
             if strict:
                 raise
-    return spark.createDataFrame(rows, LISTING)
+    schema = to_arrow_schema(spark.createDataFrame([], LISTING).schema)
+    sizes = [f.name for f in schema.field("chunks").type.value_type]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for batch in batches for p in batch["archive"].to_pylist()):
+            try:
+                with binary.open_any(path) as f:
+                    found = binary.archive_entries(f)
+            except (ValueError, OSError, EOFError, struct.error):
+                if strict:
+                    raise
+                continue
+            rows = [
+                {
+                    **{n: getattr(e, n) for n in schema.names[2:-1]}, "archive": path, "place": i,
+                    "chunks": [dict(zip(sizes, c, strict=True)) for c in e.chunks],
+                }
+                for i, e in enumerate(found)
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return spark.createDataFrame(there, "archive string").repartition(max(1, len(there))).mapInArrow(run, LISTING)
 
 
 def by_path(entries: DataFrame, path: str) -> DataFrame:

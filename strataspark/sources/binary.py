@@ -200,14 +200,20 @@ class ArchiveEntry:
     chunks: list[tuple[int, int, int, int, int]] = field(default_factory=list)
 
 
-def archive_entries(f: BinaryIO) -> list[ArchiveEntry]:
-    """Files of a general or texture archive, in order; backslashes of names as slashes."""
+def archive_head(f: BinaryIO) -> tuple[bytes, int, int]:
+    """Kind of an archive, number of its files, and where their names begin."""
     head = _at(f, 0, 24)
     if len(head) < 24 or head[:4] != b"BTDX":
         raise ValueError("not an archive: bad magic")
     kind, count, names_at = head[8:12], *struct.unpack_from("<IQ", head, 12)
     if kind not in (b"GNRL", b"DX10"):
         raise ValueError(f"unknown archive type {kind!r}")
+    return kind, count, names_at
+
+
+def archive_entries(f: BinaryIO) -> list[ArchiveEntry]:
+    """Files of a general or texture archive, in order; backslashes of names as slashes."""
+    kind, count, names_at = archive_head(f)
     out = []
     for _ in range(count):
         if kind == b"GNRL":
