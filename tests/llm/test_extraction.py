@@ -87,3 +87,40 @@ def test_embedded_elements_without_end_lose_no_text():
     for odd in ("<svg/>", "<math />", "<object data=x>", "<svg><g/></svg>", "<svg><svg><text>no</text></svg><text>no</text></svg>", "<video src=x>"):
         assert main_text(f"<article><p>{P}</p>{odd}<p>{P}</p></article>") == f"{P}\n{P}"
     assert main_text("<svg>" * 20_000 + f"<p>{P}</p>") == P
+
+
+def test_generated_pages_give_their_article_back():
+    """Against the text that each page is made of, inline markup and references resolved."""
+    import html
+    import random
+
+    rng = random.Random(12)
+    inline = ["<b>{}</b>", "<a href='/x?a=1&amp;b=2'>{}</a>", "<em>{}</em>", "{}<br>", "<span class=x>{}</span>", "{}"]
+    junk = ["<nav><ul><li><a href=/a>Menu {}</a></ul></nav>", "<div class='ad'>{}</div>", "<aside><p>{}</p></aside>", "<footer>{}</footer>",
+            "<script>var a='<p>{}</p>'</script>", "<style>p{{}} /* {} */</style>", "<div id=comments><p>{}</p></div>", "<form><input><p>{}</p></form>", "<!-- {} -->"]
+
+    def sentence():
+        words = ["".join(rng.choice("abcdeéü<&\"") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(12, 40))]
+        return " ".join(words) + ", and more."
+
+    def marked(text):
+        """Markup of a text, and the text that it shows."""
+        parts, shown = [], []
+        for word in text.split(" "):
+            form = rng.choice(inline)
+            parts.append(form.format(html.escape(word) if rng.random() < 0.8 else "".join(f"&#{ord(c)};" for c in word)))
+            shown.append(word)
+        return rng.choice([" ", "\n  ", "\t"]).join(parts), " ".join(shown)
+
+    for _ in range(150):
+        body, wanted = "", []
+        for _ in range(rng.randint(2, 7)):
+            markup, shown = marked(sentence())
+            body += f"<p>{markup}</p>" if rng.random() < 0.7 else f"<p>{markup}"
+            wanted.append(shown)
+            if rng.random() < 0.2:
+                body += "</p>" + rng.choice(junk[4:6]).format("no") + rng.choice(junk[1:3]).format(sentence().replace("<", "").replace("&", ""))
+        around = [rng.choice(junk).format(sentence().replace("<", "").replace("&", "")) for _ in range(4)]
+        holder = rng.choice(["article", "main", "div class=content"])
+        page = f"<html><body>{around[0]}{around[1]}<{holder}>{body}</{holder.split()[0]}>{around[2]}{around[3]}</body></html>"
+        assert main_text(page).split("\n") == wanted, page
