@@ -32,8 +32,8 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     Cuts the lineage, so a lost executor costs a reread and not a recompute,
     and freezes values such as ``monotonically_increasing_id``. ``rows``, a bound of
     the number of narrow rows where it is known, keeps small tables in few files: each costs the
-    executors some processes for its permissions, and the driver its listing. It is not for
-    tables behind an aggregate of lists, whose memory is held for all partitions of a task.
+    executors some processes for its permissions, and the driver its listing. It is for tables
+    behind a hash aggregate alone: sorts hold memory for all partitions that a task merges.
     """
     spark = df.sparkSession
     if rows is not None:

@@ -112,7 +112,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.any_value("keys").alias("keys"),
     )
-    nodes = materialize(nodes.withColumn("short", F.xxhash64("node")), "paragraph-nodes", n_found)
+    nodes = materialize(nodes.withColumn("short", F.xxhash64("node")), "paragraph-nodes")
     # candidates go by a 64-bit hash of the node: one that two nodes share only adds a candidate
     keys = nodes.select("short", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most")
@@ -202,14 +202,13 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     since = mark()
     found = whole.select("uid", "doc_id", F.explode(anchors("text", "__lines")).alias("a")).select("uid", "doc_id", "a.*")
     found = materialize(found, "passage-anchors")
-    most = found.count()
     shared = found.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
     # the first places are sought among the anchors that are shared alone
-    some = materialize(found.join(shared, F.col("h") == F.col("g")).drop("g"), "passage-shared", most)
+    some = materialize(found.join(shared, F.col("h") == F.col("g")).drop("g"), "passage-shared")
     settle(spark, since, some)
     first = some.groupBy(F.col("h").alias("g")).agg(F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
     # written, so that a very common anchor's rows can be split among tasks in the join
-    first = materialize(first, "passage-first", most)
+    first = materialize(first, "passage-first")
     wanted = some.join(broadcast_if_small(first, first.count()), F.col("h") == F.col("g")).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("pos", "h", "n", "first")).alias("at"))
 
     @F.pandas_udf("array<struct<line: int, before: binary, after: binary, above: binary>>")
@@ -265,7 +264,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     met = met.withColumn("e", extent("before", "f_before", "after", "f_after", "line", "above", "f_line", "f_above")).select(
         "uid", "doc_id", "pos", F.col("first.uid").alias("fu"), F.col("first.doc_id").alias("fd"), F.col("first.pos").alias("fp"), "n", "e.*"
     )
-    met = materialize(met, "passage-met", most)
+    met = materialize(met, "passage-met")
     settle(spark, since, met)
     met = met.where(F.col("b") + F.col("f") + ANCHOR_WORDS >= LEAST_WORDS)
     start, end = (lambda p: F.col(p) - F.col("b")), (lambda p: F.col(p) + ANCHOR_WORDS + F.col("f"))
@@ -285,7 +284,7 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     )
     merged = materialize(
         merged.select("uid", "doc_id", "kept", F.col("s.start"), "end", F.col("s.line"), F.col("s.first_doc_id"), F.col("s.first_line"), "n_places"),
-        "passage-runs", most,
+        "passage-runs",
     )
     settle(spark, since, merged)
     # the first place of one anchor may go for another anchor's sake: then it isn't kept
