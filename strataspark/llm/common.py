@@ -6,6 +6,7 @@ folder, set Arrow batch sizes and build two-level (bucketed) running sums.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterable, Sequence
@@ -72,10 +73,19 @@ def drop_tables(spark: SparkSession, paths: Iterable[str], *keep: DataFrame) ->
                 _written.remove(path)
 
 
-def settle(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+def settle(spark: SparkSession, since: int, *keep: DataFrame, release: bool = True) -> None:
     """Delete the tables written since a ``mark``, but for those that the frames to ``keep``
     read: for when these have been written from them."""
     drop_tables(spark, written(since), *keep)
+    if release:
+        release_shuffles(spark)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of plans that are through: it does so when
+    the driver's garbage is collected, which a driver with little to do puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop_materialized(spark: SparkSession) -> int:

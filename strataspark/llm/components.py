@@ -41,7 +41,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = materialize(small.select("e.*").where("a <> b").distinct(), "edges", rows)
-        settle(e.sparkSession, since, e)
+        settle(e.sparkSession, since, e, release=False)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
