@@ -203,11 +203,13 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     found = whole.select("uid", "doc_id", F.explode(anchors("text", "__lines")).alias("a")).select("uid", "doc_id", "a.*")
     found = materialize(found, "passage-anchors")
     shared = found.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that a very common anchor's rows can be split among tasks in the join
+    shared = materialize(shared, "passage-counts", found.count())
+    shared = broadcast_if_small(shared, shared.count())
     # the first places are sought among the anchors that are shared alone
     some = materialize(found.join(shared, F.col("h") == F.col("g")).drop("g"), "passage-shared")
     settle(spark, since, some)
     first = some.groupBy(F.col("h").alias("g")).agg(F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
-    # written, so that a very common anchor's rows can be split among tasks in the join
     first = materialize(first, "passage-first")
     wanted = some.join(broadcast_if_small(first, first.count()), F.col("h") == F.col("g")).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("pos", "h", "n", "first")).alias("at"))
 
