@@ -189,8 +189,9 @@ def _mix(sizes: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: each row as often as the mix takes it, with the columns of ``docs``,
-    in the order of the mix's slots.
+    """The mix as documents: each row as often as the mix takes it, with the columns of ``docs``;
+    the rows of each partition stand in the order of the mix's slots. (An order over all
+    partitions would shuffle every text once more.)
 
     A row's copies are its taken words over its size, rounded to whole texts
     (half up), so only the one document at the cut of each source is off, by
@@ -210,5 +211,5 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     places = materialize(places, "mix-places")
     settle(docs.sparkSession, since, places)
     taken = whole.join(broadcast_if_small(places, places.count()), F.col("uid") == F.col("of"))
-    ordered = taken.repartitionByRange("slot", "uid").sortWithinPartitions("slot", "uid")
+    ordered = taken.sortWithinPartitions("slot", "uid")
     return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -124,9 +124,10 @@ def test_places_of_documents_are_their_blocks_slots(spark):
 def test_mixed_documents_stand_in_the_schedule_s_order(spark):
     docs = corpus(spark, SPECS[0])
     first = {r["doc_id"]: list(r["slots"]) for r in mixing.mix(docs).collect()}
-    seen, last = defaultdict(int), -1
-    for r in mixing.mix_documents(docs).collect():  # partitions in order
+    seen, last = defaultdict(int), defaultdict(lambda: -1)
+    mixed = mixing.mix_documents(docs.repartition(3, "doc_id")).withColumn("__p", F.spark_partition_id())
+    for r in mixed.collect():
         slot = first[r["doc_id"]][seen[r["doc_id"]]]
         seen[r["doc_id"]] += 1
-        assert slot >= last
-        last = slot
+        assert slot >= last[r["__p"]]
+        last[r["__p"]] = slot
