@@ -15,6 +15,7 @@ nothing. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -55,8 +56,12 @@ def _exact(path: str, plain: bool = False):
 
 @lru_cache(maxsize=1)
 def _specials(path: str) -> tuple[str, ...]:
-    """Strings that the tokenizer takes for a special token wherever they stand."""
-    return tuple(t.content for t in _exact(path).get_added_tokens_decoder().values())
+    """Strings that the tokenizer takes for a special token wherever they stand; read from its
+    file, as the tokenizer itself would stay in every worker's memory."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    added, _ = json.JSONDecoder().raw_decode(text, text.index("[", text.index('"added_tokens"')))
+    return tuple(t["content"] for t in added)
 
 
 @lru_cache(maxsize=1)

@@ -35,6 +35,7 @@ def test_special_strings_are_tokens_by_default_and_text_if_plain():
     assert packing.encode("a <|endoftext|> b", path, plain=True).tolist() == [64, 1279, 91, 437, 1659, 5239, 91, 29, 275]
     ids, lengths = packing.encode_words(["a", "<|endoftext|>", "日"], path)
     assert 50256 not in ids.tolist() and len(lengths) == 3
+    assert set(packing._specials(path)) == {t.content for t in packing._exact(path).get_added_tokens_decoder().values()} == {"<|endoftext|>"}
 
 
 @settings(max_examples=150, deadline=None)
