@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.common import broadcast_if_small, mark, materialize, settle, text_batches
 from strataspark.llm.components import components
-from strataspark.llm.minhash import SIMILAR, forest, key_of, normal, shingles, signature, similar_pairs
+from strataspark.llm.minhash import forest, key_of, normal, shingles, signature, similar_pairs
 
 TREES, DEPTH, LEAST_DEPTH = 24, 8, 6
 LEVEL_BITS = 7
