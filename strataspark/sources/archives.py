@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strataspark.functions.text import ascii_lower, hex_id
-from strataspark.operators.lookups import upsert
+from strataspark.operators.lookups import merge_by_priority, upsert
 from strataspark.sources import binary
 
 LISTING = (
@@ -139,14 +139,11 @@ def read_strings(spark: SparkSession, archive: str, stem: str, language: str = "
     """string_id, text, source of a language: main files, then the ``nw`` ones; later files win."""
     entries = list_archive(spark, archive)
     parts = []
-    for i, (prefix, (suffix, prefixed)) in enumerate((p, s) for p in (stem.lower(), "nw") for s in PARTS):
+    for prefix, (suffix, prefixed) in ((p, s) for p in (stem.lower(), "nw") for s in PARTS):
         one = containing(entries, f"strings/{prefix}_{language}{suffix}").limit(1)
         rows = contents(one).select("name", F.explode(string_rows(F.col("content"), prefixed)).alias("s"))
-        parts.append(rows.select("s.string_id", "s.text", F.col("name").alias("source"), F.lit(i).alias("priority")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return upsert(union, ["string_id"], "priority").drop("priority")
+        parts.append(rows.select("s.string_id", "s.text", F.col("name").alias("source")))
+    return merge_by_priority(parts, "string_id")
 
 
 # Single-file formats, over binary columns
