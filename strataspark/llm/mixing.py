@@ -147,7 +147,8 @@ def _mix(sizes: DataFrame) -> DataFrame:
     buckets = max(1, -(-rows // BUCKET_ROWS))
     placed = placed.withColumn("h", F.xxhash64("doc_id", "size"))
     placed = placed.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * buckets))
-    placed = running_sum(placed, ["src"], ["h", "doc_id", "size", "uid"], "bucket", "size", "start")
+    # written, as are the slots: the whole as one plan would be planned anew at each of its many stages
+    placed = materialize(running_sum(placed, ["src"], ["h", "doc_id", "size", "uid"], "bucket", "size", "start"), "mix-placed")
     end = F.col("start") + F.col("size")
     pieces = placed.withColumn(
         "block",
@@ -172,6 +173,7 @@ def _mix(sizes: DataFrame) -> DataFrame:
         # one for each pass, MOST_REPEATS + 1 at most
         F.array_sort(F.collect_list("slot")).alias("slots"),
     )
+    slots = materialize(slots, "mix-slots")
     cut = F.greatest(F.least("last", "rest") - F.col("first"), F.lit(0))
     words = F.coalesce(F.col("whole") * (F.col("last") - F.col("first")) + F.col("cut") * cut, F.lit(0))
     # without a word of the cut pass its slot isn't the document's
