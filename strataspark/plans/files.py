@@ -69,11 +69,7 @@ def _record_file(group: pd.DataFrame) -> bytes:
 def record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a record, packed or plain, nested or not, read by the source."""
     paths = written(bucketed(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), _record_file, ".esm")
-    rows = [read_records(spark, p) for p in paths]
-    whole = rows[0]
-    for r in rows[1:]:
-        whole = whole.unionByName(r)
-    return whole.select(
+    return read_records(spark, paths).select(
         "form_id", "record_type", (F.col("flags").bitwiseAND(F.lit(3))).alias("flags"),
         (F.col("flags").bitwiseAND(F.lit(tables.COMPRESSED_FLAG)) != 0).alias("packed"), "revision", "version",
         F.when(F.col("flags") < tables.COMPRESSED_FLAG, F.col("data_size")).alias("plain_size"),

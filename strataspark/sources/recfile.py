@@ -1,18 +1,20 @@
-"""Spark data source "recfile": records of a binary record file.
+"""Spark data source "recfile": records of binary record files.
 
     spark.dataSource.register(RecordFileSource)
-    spark.read.format("recfile").load(path)
+    spark.read.format("recfile").load(path)  # or a list of paths
 
 Options: ``skipTypes`` (comma-separated; default the placement types),
 ``targetBytes`` of a partition (default 32 MB), ``pushDown`` (true where the
 session sets spark.sql.python.filterPushdown.enabled). The driver reads group headers to
 plan partitions of whole group children; each task reads its range alone. Filters
 on record_type prune top-level groups and records at their headers.
-``ordinal`` is a record's offset in the file, so it orders records as the file does.
+Several files are one scan: a partition takes ranges of small files up to ``targetBytes``.
+``ordinal`` is a record's offset in its file, so it orders records as the file does.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -53,9 +55,10 @@ def _batch(found: list[binary.RawRecord]) -> pa.RecordBatch:
 
 
 @dataclass
-class Range(InputPartition):
-    start: int
-    end: int
+class Ranges(InputPartition):
+    """(path, start, end) of each range."""
+
+    parts: list[tuple[str, int, int]]
 
 
 class RecordFileSource(DataSource):
@@ -73,24 +76,34 @@ class RecordFileSource(DataSource):
 
 class RecordFileReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         given = options.get("skipTypes")
         names = SKIPPED_TYPES if given is None else [t for t in given.split(",") if t]
         self.skipped = frozenset(t.encode("ascii") for t in names)
         self.target = int(options.get("targetBytes", TARGET_BYTES))
         self.wanted: frozenset[str] | None = None
 
-    def partitions(self) -> list[Range]:
-        with binary.open_any(self.path) as f:
-            return [Range(a, b) for a, b in binary.plan_ranges(f, self.skipped, self.target, self.wanted)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        with binary.open_any(self.path) as f:
-            f.seek(partition.start)
-            data = f.read(partition.end - partition.start)
-        found = binary.records_in(data, partition.start, self.skipped, self.wanted)
-        while some := list(islice(found, BATCH_RECORDS)):
-            yield _batch(some)
+    def partitions(self) -> list[Ranges]:
+        found, room = [], 0
+        for path in self.paths:
+            with binary.open_any(path) as f:
+                ranges = binary.plan_ranges(f, self.skipped, self.target, self.wanted)
+            for start, end in ranges:
+                if not found or room < end - start:
+                    found.append(Ranges([]))
+                    room = self.target
+                found[-1].parts.append((path, start, end))
+                room -= end - start
+        return found or [Ranges([])]  # without partitions Spark reads one that is None
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for path, start, end in partition.parts:
+            with binary.open_any(path) as f:
+                f.seek(start)
+                data = f.read(end - start)
+            found = binary.records_in(data, start, self.skipped, self.wanted)
+            while some := list(islice(found, BATCH_RECORDS)):
+                yield _batch(some)
 
 
 class PushingReader(RecordFileReader):
@@ -110,8 +123,9 @@ class PushingReader(RecordFileReader):
 
 
 def read_records(
-    spark: SparkSession, path: str, skip_types: tuple[str, ...] | None = None, target_bytes: int = TARGET_BYTES
+    spark: SparkSession, path: str | list[str], skip_types: tuple[str, ...] | None = None, target_bytes: int = TARGET_BYTES
 ) -> DataFrame:
+    """Records of one file, or of several in one scan."""
     spark.dataSource.register(RecordFileSource)
     reader = spark.read.format("recfile").option("targetBytes", str(target_bytes))
     reader = reader.option("pushDown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))

@@ -156,6 +156,30 @@ def test_source_pushes_types_down(spark, world):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
+def test_many_files_are_one_scan(spark, world, tmp_path):
+    paths = []
+    for i in range(300):
+        made = [builders.record("MISC", 10 * i + k, [("EDID", b"x\0")]) for k in range(i % 3)]
+        paths.append(str(tmp_path / f"{i:03d} ,\u00e9\".esm"))
+        (tmp_path / paths[-1]).write_bytes(builders.record_file([builders.group(b"MISC", made)] if made else []))
+    rows = read_records(spark, paths)
+    assert sorted(r["form_id"] for r in rows.collect()) == [10 * i + k for i in range(300) for k in range(i % 3)]
+    assert rows.rdd.getNumPartitions() < 10 and "Union" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert read_records(spark, paths[:9], target_bytes=1).rdd.getNumPartitions() > 3
+    both = read_records(spark, [str(world[3] / "a.esm")] * 2, target_bytes=64)
+    assert sorted(both.collect()) == sorted(read_records(spark, str(world[3] / "a.esm")).collect() * 2)
+    with pytest.raises(Exception, match="no TES4"):
+        (tmp_path / "none.esm").write_bytes(b"nothing")
+        read_records(spark, [*paths[:2], str(tmp_path / "none.esm")]).collect()
+
+
+def test_a_file_without_wanted_records_is_empty(spark, tmp_path):
+    path = str(tmp_path / "refr.esm")
+    (tmp_path / "refr.esm").write_bytes(builders.record_file([builders.group(b"REFR", [builders.record("REFR", 1, [])])]))
+    assert read_records(spark, path).collect() == [] == read_records(spark, [path, path]).collect()
+    assert read_records(spark, path, skip_types=()).count() == 1
+
+
 def test_archives_and_media(spark, tmp_path):
     fuz = b"FUZE" + struct.pack("<II", 1, 3) + b"lipAUDIO"
     files = [
