@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataspark.llm import common
@@ -61,3 +62,17 @@ def test_small_batches_are_never_enlarged(spark):
     assert spark.conf.get(key) == str(common.TEXT_BATCH_ROWS)
     assert int(spark.conf.get(size).rstrip("b")) == common.TEXT_BATCH_BYTES
     spark.conf.set(key, before)
+
+
+def test_settling_returns_freed_memory_of_the_driver(spark):
+    jvm = spark._jvm
+    if not common.trim(spark):
+        pytest.skip("this JVM can't trim its heap of native memory")
+    resident = lambda: int(Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/statm").read_text().split()[1]) * 4096
+    held = [jvm.java.util.zip.Deflater() for _ in range(401)]
+    for one in held[:-1]:  # the last keeps the allocator from shrinking on its own
+        one.end()
+    before = resident()
+    common.settle(spark, common.mark(), release=False)
+    held[-1].end()
+    assert before - resident() > 20e6
