@@ -54,14 +54,35 @@ def runs(normalised: bytes, words: int) -> np.ndarray:
     """The same hashes, one for each run, in text order."""
     if not normalised:
         return np.empty(0, dtype=np.uint64)
-    data = np.frombuffer(normalised, dtype=np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    starts = np.concatenate([[0], gaps + 1])
-    ends = np.concatenate([gaps, [len(data)]])
+    data, starts, ends = _bounds(normalised)
     if len(starts) > words:
         starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
+    return _run_hashes(data, starts, ends)
+
+
+def runs_of(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``runs`` of each text, one text after another, and how many each has: all are hashed at once."""
+    counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], dtype=np.int64)
+    n = np.where(counts > words, counts - words + 1, np.minimum(counts, 1))
+    if not n.any():
+        return np.empty(0, dtype=np.uint64), n
+    data, starts, ends = _bounds(b" ".join([t for t in texts if t]))
+    # the first and the last word of each run, which stays within its text
+    first = np.repeat(np.cumsum(counts) - counts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    last = first + np.repeat(np.minimum(counts, words), n) - 1
+    return _run_hashes(data, starts[first], ends[last]), n
+
+
+def _bounds(normalised: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and where each word starts and ends."""
+    data = np.frombuffer(normalised, dtype=np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    return data, np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
+
+
+def _run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     # hash of a run: its part of the running polynomial sum, moved to power 0
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
@@ -87,6 +108,20 @@ def signature(hashes: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
+    """``signature`` of each of the sets that stand one after another (``counts`` hashes each,
+    one at least; repeated ones don't matter), one row for each."""
+    a, b = _family(n, seed)
+    out = np.empty((len(counts), n), dtype=np.uint32)
+    starts = np.cumsum(counts) - counts
+    own = np.empty_like(hashes)
+    for j in range(n if len(counts) else 0):
+        np.multiply(hashes, a[j], out=own)
+        own += b[j]
+        out[:, j] = np.minimum.reduceat(own, starts) >> np.uint64(32)
+    return out
+
+
 def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs of sets with exact Jaccard of at least SIMILAR, and their Jaccard; within
     ``left`` (i < j) if ``right`` is None. Shared counts are products of 0/1 matrices over

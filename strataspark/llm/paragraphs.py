@@ -23,17 +23,20 @@ columns are ignored by ``repeats`` and kept by ``remove_repeats``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from strataspark.llm.common import broadcast_if_small, mark, materialize, settle, text_batches
 from strataspark.llm.components import components
 from strataspark.llm.jaccard_join import BLOCK_NODES, links_of
-from strataspark.llm.minhash import SIMILAR, key_of, normal, runs, shingles, signature
+from strataspark.llm.minhash import SHINGLE_WORDS, SIMILAR, key_of, normal, runs, runs_of, shingles, signatures
 
 LEAST_WORDS = 50
 VALUES = 72
@@ -45,6 +48,8 @@ TARGET_RECALL = 0.995
 #: run of LEAST_WORDS words holds REACH + 1 windows. Two of REACH + 2 words are anchors.
 ANCHOR_WORDS = 16
 REACH = LEAST_WORDS - ANCHOR_WORDS
+#: Bytes of words that are hashed at once: their arrays stay in the processor's cache.
+CHUNK_BYTES = 1 << 17
 
 
 def tuned_bands(values: int = VALUES, target: float = TARGET_RECALL) -> tuple[int, int]:
@@ -58,15 +63,36 @@ def tuned_bands(values: int = VALUES, target: float = TARGET_RECALL) -> tuple[in
     return values, 1
 
 
-def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    values = signature(hashes, bands * rows).reshape(bands, rows).astype(np.uint64)
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of the bands (a row of ``bands`` each) of signatures of bands x rows values."""
+    values = values.reshape(-1, bands, rows).astype(np.uint64)
     key = np.arange(1, bands + 1, dtype=np.uint64)
     for r in range(rows):
-        key = (key ^ values[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ values[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
 
 
+def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in parts of about CHUNK_BYTES: their hashes are made at once."""
+    part: list[bytes] = []
+    held = 0
+    for text in texts:
+        part.append(text)
+        held += len(text)
+        if held >= CHUNK_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def _with_ids(docs: DataFrame, more: str) -> StructType:
+    """Columns uid and doc_id as in ``docs``, and some more."""
+    own = [StructField(c, docs.schema[c].dataType) for c in ("uid", "doc_id")]
+    return StructType([*own, *StructType.fromDDL(more).fields])
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """uid, doc_id, text and the whole row of every row of ``docs``, written once."""
     others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
@@ -78,23 +104,30 @@ def places(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     bands, rows = tuned_bands()
 
-    @F.pandas_udf("array<struct<line: int, n_words: int, node: binary, keys: array<long>>>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            found = []
-            for k, line in enumerate((text or "").split("\n")):
-                words = normal(line)
-                n = words.count(b" ") + 1
-                if n >= LEAST_WORDS:
-                    found.append(
-                        {"line": k, "n_words": n, "node": key_of(words), "keys": band_keys(shingles(words), bands, rows)}
-                    )
-            out.append(found)
-        return pd.Series(out, dtype=object)
-
-    found = docs.select("uid", "doc_id", F.explode(run("text")).alias("p")).select("uid", "doc_id", "p.*")
-    return materialize(found, "paragraphs")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, lines, n_words, words = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for k, line in enumerate((text or "").split("\n")):
+                    own = normal(line)
+                    n = own.count(b" ") + 1
+                    if n >= LEAST_WORDS:
+                        of.append(i)
+                        lines.append(k)
+                        n_words.append(n)
+                        words.append(own)
+            keys = [np.empty(0, dtype=np.int64)]
+            for part in _chunks(words):
+                keys.append(band_keys(signatures(*runs_of(part, SHINGLE_WORDS), bands * rows), bands, rows).ravel())
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("uid").take(at), batch.column("doc_id").take(at), pa.array(lines, pa.int32()), pa.array(n_words, pa.int32()),
+                pa.array(map(key_of, words), pa.binary()),
+                pa.ListArray.from_arrays(np.arange(0, bands * len(words) + 1, bands, dtype=np.int32), np.concatenate(keys)),
+            ], ["uid", "doc_id", "line", "n_words", "node", "keys"])
+
+    form = _with_ids(docs, "line int, n_words int, node binary, keys array<long>")
+    return materialize(docs.select("uid", "doc_id", "text").mapInArrow(run, form), "paragraphs")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -161,27 +194,46 @@ def _repeats(docs: DataFrame) -> DataFrame:
     )
 
 
-def _stream(text: str | None, gone: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
-    """Words of the lines that didn't go, and the line of each."""
-    out: list[bytes] = []
-    lines: list[int] = []
-    skip = set() if gone is None else set(gone)
-    for k, line in enumerate((text or "").split("\n")):
-        if k not in skip:
-            words = normal(line).split()
-            out += words
-            lines += [k] * len(words)
-    return out, np.array(lines, dtype=np.int64)
-
-
-def anchors_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of a text's words."""
-    if len(words) < LEAST_WORDS:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    h = runs(b" ".join(words), ANCHOR_WORDS)
-    least = np.lib.stride_tricks.sliding_window_view(h, REACH + 1).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    return at, h[at].view(np.int64)
+def _stream(text: str | None, gone: list[int] | None) -> tuple[bytes, np.ndarray]:
+    """Words of the lines that didn't go, one space between, and the line of each."""
+    skip = () if gone is None else set(gone)
+    lines = [b"" if k in skip else normal(line) for k, line in enumerate((text or "").split("\n"))]
+    counts = [line.count(b" ") + 1 if line else 0 for line in lines]
+    return b" ".join([line for line in lines if line]), np.repeat(np.arange(len(lines)), counts)
+
+
+def _words_left(text: str | None, gone: list[int] | None) -> bytes:
+    """The words of ``_stream`` alone."""
+    if not gone:
+        return normal(text)
+    skip = set(gone)
+    return normal("\n".join([line for k, line in enumerate((text or "").split("\n")) if k not in skip]))
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of some texts' words, one text after another,
+    and how many each text has."""
+    long = np.array([t.count(b" ") + 1 >= LEAST_WORDS for t in texts], dtype=bool)
+    n_anchors = np.zeros(len(texts), dtype=np.int64)
+    h, n = runs_of([t for t, x in zip(texts, long, strict=True) if x], ANCHOR_WORDS)
+    if not len(h):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), n_anchors
+    # the first least one of REACH + 1 in a row: of 2, 4, 8 .., as far as these overlap
+    least, at, width = h, np.arange(len(h), dtype=np.int32), 1
+    while width <= REACH:
+        step = min(width, REACH + 1 - width)
+        left, right = slice(None, len(least) - step), slice(step, None)
+        later = least[right] < least[left]
+        least, at = np.where(later, least[right], least[left]), np.where(later, at[right], at[left])
+        width += step
+    # rows of hashes that begin in one text and end in another don't count
+    starts = np.cumsum(n) - n
+    windows = n - REACH
+    at = at[np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())]
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    of = np.searchsorted(starts, at, side="right") - 1
+    n_anchors[long] = np.bincount(of, minlength=len(n))
+    return at - starts[of], h[at].view(np.int64), n_anchors
 
 
 def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -191,16 +243,21 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     text_batches(spark)
     whole = docs.select("uid", "doc_id", "text").join(gone, F.col("uid") == F.col("__uid"), "left")
 
-    @F.pandas_udf("array<struct<pos: int, h: long>>")
-    def anchors(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        out = []
-        for text, k in zip(texts, lines, strict=True):
-            at, h = anchors_of(_stream(text, k)[0])
-            out.append([{"pos": p, "h": x} for p, x in zip(at.tolist(), h.tolist(), strict=True)])
-        return pd.Series(out, dtype=object)
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = map(_words_left, batch.column("text").to_pylist(), batch.column("__lines").to_pylist())
+            made = [anchors_of(part) for part in _chunks(list(texts))]
+            if not made:
+                continue
+            pos, h, n = (np.concatenate(x) for x in zip(*made, strict=True))
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid").take(at), batch.column("doc_id").take(at), pa.array(pos.astype(np.int32)), pa.array(h)],
+                ["uid", "doc_id", "pos", "h"],
+            )
 
     since = mark()
-    found = whole.select("uid", "doc_id", F.explode(anchors("text", "__lines")).alias("a")).select("uid", "doc_id", "a.*")
+    found = whole.select("uid", "doc_id", "text", "__lines").mapInArrow(anchors, _with_ids(docs, "pos int, h long"))
     found = materialize(found, "passage-anchors")
     shared = found.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
     # written, so that a very common anchor's rows can be split among tasks in the join
@@ -218,15 +275,19 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
         out = []
         for text, k, at in zip(texts, lines, places, strict=True):
             words, line = _stream(text, k)
-            h = runs(b" ".join(words), 1).astype("<u4")
+            h = runs(words, 1).astype("<u4")
+            n, forth, back = len(h), h.tobytes(), h[::-1].tobytes()
+            # how many lines above the anchor's each word before it stands
+            at = np.asarray(at, dtype=np.int64)
+            above = line[at, None] - line[np.maximum(at[:, None] - np.arange(REACH + 1), 0)]
+            small, wide = above.astype(np.uint8), above.max(axis=1) > 255
             own = []
-            for p in at:
-                low, end = max(0, p - REACH), p + ANCHOR_WORDS
-                # how many lines above the anchor's each word before it stands
-                above = line[p] - line[low : p + 1][::-1]
-                above = above.astype(np.uint8 if above[-1] < 256 else "<u4")
+            for i, p in enumerate(at.tolist()):
+                m, end = min(p, REACH), 4 * (p + ANCHOR_WORDS)
+                row = above[i, : m + 1].astype("<u4") if wide[i] else small[i, : m + 1]
                 own.append({
-                    "line": int(line[p]), "before": h[low:p][::-1].tobytes(), "after": h[end : end + REACH].tobytes(), "above": above.tobytes(),
+                    "line": int(line[p]), "before": back[4 * (n - p) : 4 * (n - p + m)], "after": forth[end : end + 4 * REACH],
+                    "above": row.tobytes(),
                 })
             out.append(own)
         return pd.Series(out, dtype=object)
@@ -247,9 +308,9 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
         def same(x: bytes, y: bytes) -> int:
             if x == y:
                 return len(x) // 4
-            n = min(len(x), len(y)) // 4
-            other = np.flatnonzero(np.frombuffer(x, "<u4", n) != np.frombuffer(y, "<u4", n))
-            return int(other[0]) if len(other) else n
+            n = min(len(x), len(y))
+            other = int.from_bytes(x[:n], "little") ^ int.from_bytes(y[:n], "little")
+            return ((other & -other).bit_length() - 1) // 32 if other else n // 4
 
         b = [same(x, y) for x, y in zip(before, f_before, strict=True)]
         f = [same(x, y) for x, y in zip(after, f_after, strict=True)]
@@ -336,7 +397,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append(text)
                 continue
             skip, at, kept = set() if k is None else set(k), 0, []
-            cut = np.zeros(len(_stream(text, k)[0]), dtype=bool)
+            cut = np.zeros(len(_stream(text, k)[1]), dtype=bool)
             for c in own if own is not None else ():
                 cut[c["start"] : c["end"]] = True
             for i, line in enumerate(text.split("\n")):

@@ -358,3 +358,40 @@ def test_no_run_of_fifty_words_is_left_twice_and_nothing_else_goes(spark, seed):
     lines = {i: (t or "").split("\n") for i, t, *_ in rows}
     assert places and all(r["n_words"] >= 50 and 0 <= r["line"] < len(lines[r["doc_id"]]) for r in places if r["doc_id"] is not None)
     assert all(lines[r["doc_id"]][r["line"]] for r in places if r["doc_id"] is not None)
+
+
+def brute_anchors(words):
+    h = minhash.runs(b" ".join(words), paragraphs.ANCHOR_WORDS)
+    n = paragraphs.REACH + 1
+    at = sorted({i + int(np.argmin(h[i : i + n])) for i in range(len(h) - n + 1)}) if len(words) >= paragraphs.LEAST_WORDS else []
+    return at, h[at].view(np.int64).tolist()
+
+
+def test_many_texts_are_hashed_at_once_as_each_alone():
+    rng = np.random.default_rng(11)
+    texts = [b" ".join(rng.choice([b"a", b"bb", "é".encode(), b"c"], int(n))) for n in [0, 1, 4, 5, 6, 49, 50, 51, 300, 0, *rng.integers(0, 200, 30)]]
+    texts += [b" ".join([b"a"] * 120), b""]
+    for words in (1, 5, 16):
+        h, n = minhash.runs_of(texts, words)
+        assert n.tolist() == [len(minhash.runs(t, words)) for t in texts]
+        assert np.array_equal(h, np.concatenate([minhash.runs(t, words) for t in texts]))
+    some = [t for t in texts if t]
+    got = minhash.signatures(*minhash.runs_of(some, 5), 70)
+    assert np.array_equal(got, [minhash.signature(minhash.shingles(t), 70) for t in some])
+    pos, h, n = paragraphs.anchors_of(texts)
+    want = [brute_anchors(t.split()) for t in texts]
+    assert n.tolist() == [len(w[0]) for w in want] and sum(n) > 30
+    assert pos.tolist() == [p for w in want for p in w[0]] and h.tolist() == [x for w in want for x in w[1]]
+    assert [len(x) for x in paragraphs.anchors_of([b"a", b""])] == [0, 0, 2] and len(minhash.runs_of([], 5)[0]) == 0
+    parts = list(paragraphs._chunks([b"x" * 50_000] * 7))
+    assert [len(p) for p in parts] == [3, 3, 1] and not list(paragraphs._chunks([]))
+
+
+def test_words_left_stand_in_their_lines():
+    text = "Aa  b\n\n c\x0bd\n \nE"
+    for gone in (None, [0], [2, 4], [0, 2, 4]):
+        left = [(w, k) for k, line in enumerate(text.split("\n")) if k not in (gone or []) for w in minhash.normal(line).split()]
+        words, lines = paragraphs._stream(text, gone)
+        assert words.split() == [w for w, _ in left] and lines.tolist() == [k for _, k in left]
+        assert paragraphs._words_left(text, gone) == words
+    assert paragraphs._stream(None, None)[0] == paragraphs._words_left(None, None) == b""
