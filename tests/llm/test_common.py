@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
 from pathlib import Path
 
@@ -76,3 +79,37 @@ def test_settling_returns_freed_memory_of_the_driver(spark):
     common.settle(spark, common.mark(), release=False)
     held[-1].end()
     assert before - resident() > 20e6
+
+
+EXECUTOR_SETTLES = """
+import re, time
+from pathlib import Path
+import psutil
+from pyspark.sql import SparkSession, functions as F
+from strataspark.llm import common
+
+spark = (
+    SparkSession.builder.master("local-cluster[1,2,1500]").config("spark.executor.memory", "1200m").config("spark.ui.enabled", "false")
+    .config("spark.executor.extraJavaOptions", "-XX:+UseG1GC").config("spark.driver.host", "127.0.0.1").getOrCreate()
+)
+rows = spark.range(0, 3_000_000, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("s"), "id").repartition(4, "s")
+rows.groupBy("s").agg(F.collect_list("id")).write.format("noop").mode("overwrite").save()
+executor = next(p for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline()))
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", Path(f"/proc/{executor.pid}/smaps_rollup").read_text())[1]) // 1024
+time.sleep(2)
+before = held()
+common.settle(spark, common.mark())
+end = time.time() + 15
+while held() > before / 2 and time.time() < end:
+    time.sleep(0.5)
+print("MB", before, held())
+spark.stop()
+"""
+
+
+def test_settling_returns_freed_memory_of_the_executors():
+    pytest.importorskip("psutil")
+    env = {**os.environ, "PYTHONPATH": str(Path(common.__file__).parents[2])}
+    run = subprocess.run([sys.executable, "-c", EXECUTOR_SETTLES], env=env, capture_output=True, text=True, timeout=180, check=True)
+    before, after = map(int, run.stdout.split("MB")[-1].split())
+    assert before > 500 and after <= before / 2
