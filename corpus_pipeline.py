@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from strataspark.llm import jaccard_join, mixing, packing, paragraphs, quality
-from strataspark.llm.common import drop_tables, mark, materialize, release_shuffles, settle, written
+from strataspark.llm.common import drop_tables, mark, materialize, release_shuffles, settle, shrinking, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _before: list[str] = []  # what the last stage wrote for itself
@@ -26,9 +26,10 @@ def stage(run: Stage) -> Stage:
     @wraps(run)
     def whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_tables(spark, _before, docs)
-        release_shuffles(spark)
-        since = mark()
-        out = run(spark, docs, sf_dir)
+        with shrinking():
+            release_shuffles(spark)
+            since = mark()
+            out = run(spark, docs, sf_dir)
         _before[:] = written(since)
         return out
 

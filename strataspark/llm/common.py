@@ -9,7 +9,8 @@ from __future__ import annotations
 import gc
 import re
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -91,7 +92,23 @@ def release_shuffles(spark: SparkSession) -> None:
     gc.collect()
     spark._jvm.System.gc()
     trim(spark)
-    shrink_executors(spark)
+    if _shrinks:
+        shrink_executors(spark)
+
+
+_shrinks = False
+
+
+@contextmanager
+def shrinking() -> Iterator[None]:
+    """Within it executors shrink wherever shuffles are released: for several operators one after
+    another, whose heaps add up. One operator alone needs none of it, and growing again costs time."""
+    global _shrinks
+    before, _shrinks = _shrinks, True
+    try:
+        yield
+    finally:
+        _shrinks = before
 
 
 def shrink_executors(spark: SparkSession) -> None:

@@ -98,7 +98,8 @@ executor = next(p for p in psutil.Process().children(recursive=True) if "CoarseG
 held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", Path(f"/proc/{executor.pid}/smaps_rollup").read_text())[1]) // 1024
 time.sleep(2)
 before = held()
-common.settle(spark, common.mark())
+with common.shrinking():
+    common.settle(spark, common.mark())
 end = time.time() + 15
 while held() > before / 2 and time.time() < end:
     time.sleep(0.5)
@@ -107,7 +108,7 @@ spark.stop()
 """
 
 
-def test_settling_returns_freed_memory_of_the_executors():
+def test_settling_between_stages_returns_freed_memory_of_the_executors():
     pytest.importorskip("psutil")
     env = {**os.environ, "PYTHONPATH": str(Path(common.__file__).parents[2])}
     run = subprocess.run([sys.executable, "-c", EXECUTOR_SETTLES], env=env, capture_output=True, text=True, timeout=180, check=True)

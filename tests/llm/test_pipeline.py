@@ -72,3 +72,18 @@ def test_tables_of_a_stage_go_when_the_next_begins(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {p.rpartition("/")[2].rpartition("-")[0] for p in common.written(0)} == {"pipeline-mixing", "pack-pieces"}
     assert docs.count() > 0
+
+
+def test_executors_shrink_in_the_pipeline_alone(spark, monkeypatch):
+    from strataspark.llm import common
+
+    calls: list[int] = []
+    monkeypatch.setattr(common, "shrink_executors", lambda spark: calls.append(1))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    common.settle(spark, common.mark())
+    assert not calls
+    corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert len(calls) > 1  # when it begins, and where its own tables are settled
+    n = len(calls)
+    common.settle(spark, common.mark())
+    assert len(calls) == n
